@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -35,7 +36,9 @@ class PrefixBpe:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.lengths = sorted({len(t) for t in ranks}, reverse=True)
+        lengths = sorted({len(t) for t in ranks}, reverse=True)
+        #: Lengths of tokens that fit before an end, for the ends up to the longest token.
+        self.fits = [[n for n in lengths if n <= end] for end in range(lengths[0] + 1)]
         self.joins: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
 
@@ -65,11 +68,9 @@ class PrefixBpe:
 
     def extend(self, data: bytes, last: list[int]) -> list[int]:
         """Carry the table on: ``last[k]`` is the length of the last token of ``data[:k + 1]``; entries already there are kept."""
-        ranks = self.ranks
+        ranks, fits, most = self.ranks, self.fits, len(self.fits) - 1
         for end in range(len(last) + 1, len(data) + 1):
-            for n in self.lengths:
-                if n > end:
-                    continue
+            for n in fits[min(end, most)]:
                 token = data[end - n : end]
                 if token not in ranks:
                     continue
@@ -93,6 +94,8 @@ class PrefixBpe:
         return ids[::-1]
 
     def piece(self, data: bytes) -> list[int]:
+        if data in self.ranks and self._follows(None, data):  # the whole piece is its own last token
+            return [self.ranks[data]]
         return self.read_back(data, self.last_tokens(data))
 
     def reencode(self, old: bytes, last: list[int], new: bytes) -> tuple[list[int], list[int]]:
@@ -108,11 +111,19 @@ class _Memo(dict):
     def __init__(self, bpe: PrefixBpe):
         super().__init__()
         self.bpe, self.split = bpe, regex.compile(PATTERN).findall
+        self.pieces: dict[str, list[int]] = {}
 
     def __missing__(self, words: str) -> tuple[int, ...]:
         ids: list[int] = []
+        pieces = self.pieces
         for p in self.split(words):
-            ids += self.bpe.piece(p.encode("utf-8", "surrogatepass"))
+            if (known := pieces.get(p)) is None:
+                known = self.bpe.piece(p.encode("utf-8", "surrogatepass"))
+                if len(p) <= MEMO_CHARS:
+                    if len(pieces) >= MEMO:
+                        pieces.clear()
+                    pieces[p] = known
+            ids += known
         if len(words) <= MEMO_CHARS:
             if len(self) >= MEMO:
                 self.clear()
@@ -120,17 +131,32 @@ class _Memo(dict):
         return ids
 
 
-#: A blank between two characters that aren't white space always begins a piece, so texts are cut there first.
-_CUT = regex.compile(r"(?<=\S) (?=\S)")
-_ODD = regex.compile(r"\s \s|^ | $")
+#: A blank, or a line feed, between two characters that aren't white space always begins a piece, and a piece begins
+#: after such a line feed: texts are cut there first, so that the memo holds words and not pairs around line ends.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_ODD = re.compile(r"\s \s|^ | $")
 
 
 def encode_text(text: str | None, memo: _Memo) -> list[int]:
     """Ids of one text; empty for null and empty texts."""
     if not text:
         return []
-    parts = text.split(" ") if not _ODD.search(text) else _CUT.split(text)
-    return list(chain(memo[parts[0]], chain.from_iterable(map(memo.__getitem__, [" " + p for p in parts[1:]]))))
+    keys: list[str] = []
+    run: list[str] = []  # lines that can't be parted
+    for line in text.split("\n"):
+        if run and line and run[-1] and not line[0].isspace() and not run[-1][-1].isspace():
+            _words("\n".join(run), keys)
+            keys.append("\n")
+            run = []
+        run.append(line)
+    _words("\n".join(run), keys)
+    return list(chain.from_iterable(map(memo.__getitem__, keys)))
+
+
+def _words(run: str, keys: list[str]) -> None:
+    parts = _CUT.split(run) if _ODD.search(run) else run.split(" ")
+    keys.append(parts[0])
+    keys.extend([" " + p for p in parts[1:]])
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
