@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quirelight.common import table
-from quirelight.llm import bpe, leaks, neardup, repeats
+from quirelight.llm import bpe, leaks, neardup, pages, repeats
 
 #: Where the public vocabularies lie; only the driver reads them.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -33,6 +33,14 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.duplicate_classes(table(spark, d, "tagged_tokens"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pages.boilerplate(table(spark, d, "documents"))
+
+
+def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return pages.main_bodies(table(spark, d, "documents"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -42,7 +50,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_clean, p3_found, p3_classes, p6_ids, p7_found)}
+    return {f.__name__: f for f in (p2_found, p2_clean, p3_found, p3_classes, p5_found, p5_bodies, p6_ids, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
