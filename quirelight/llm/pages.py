@@ -161,20 +161,20 @@ def subtree_counts(documents: DataFrame) -> DataFrame:
 
 
 def find_templates(documents: DataFrame, media: tuple[str, ...] = ("web",)) -> DataFrame:
-    """``(key, links)`` of the subtrees that are template on some host of the given media; links: they follow this heading."""
+    """``(key, n)`` of the subtrees that are template on some host of the given media, and the documents that have them."""
     counts = cut(subtree_counts(documents))
-    whole = F.broadcast(counts.where("key = 0").groupBy("media").agg(F.sum("n").alias("docs")))  # one row for each kind of media
+    # one row for each kind of media
+    docs = {r[0]: r[1] for r in counts.where("key = 0").groupBy("media").agg(F.sum("n")).collect()}
     hosts = counts.where("key = 0").select("host", F.col("n").alias("host_docs"))
     enough = (F.col("n") >= LEAST_PAGES) & (F.col("n") >= F.col("host_docs") * LEAST_SHARE)
     recurring = counts.where((F.col("key") != 0) & F.col("media").isin(*media)).join(hosts, "host").where(enough)
-    recurring = recurring.groupBy("media", "key").agg(F.sum("n").alias("n")).select("key", "media", "n")
-    every = counts.where("key <> 0").groupBy("key", F.col("media").alias("other")).agg(F.sum("n").alias("m"))
-    total = whole.agg(F.sum("docs").alias("all_docs"))
-    elsewhere = (
-        recurring.join(every.where(F.col("m") > 0), "key", "left").where("other is null or other <> media").groupBy("media", "key").agg(F.sum("m").alias("m"))
-    )
-    judged = recurring.join(elsewhere, ["media", "key"], "left").join(whole, "media").crossJoin(total)  # one row
-    kept = judged.where(F.coalesce("m", F.lit(0)) <= F.greatest(F.lit(0.0), (F.col("all_docs") - F.col("docs")) * MOST_ELSEWHERE)).groupBy("key").agg(F.sum("n").alias("n"))
+    recurring = recurring.groupBy("key").agg(*[F.sum(F.when(F.col("media") == m, F.col("n"))).alias(f"on_{m}") for m in media])
+    every = counts.where("key <> 0").groupBy("key").agg(F.sum("n").alias("n"), *[F.coalesce(F.sum(F.when(F.col("media") == m, F.col("n"))), F.lit(0)).alias(f"all_{m}") for m in media])
+    total = sum(docs.values())
+    rare = F.lit(False)
+    for m in media:
+        rare = rare | F.col(f"on_{m}").isNotNull() & (F.col("n") - F.col(f"all_{m}") <= MOST_ELSEWHERE * (total - docs.get(m, 0)))
+    kept = recurring.join(every, "key").where(rare).select("key", "n")
     return kept
 
 

@@ -11,12 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quirelight.common import table
-from quirelight.llm import bpe, leaks, neardup, pages, repeats
+from quirelight.llm import bpe, leaks, neardup, pages, quality, repeats
 
 #: Where the public vocabularies lie; only the driver reads them.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(table(spark, d, "documents"))
+
+
+def p1_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality(table(spark, d, "documents"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return repeats.repeated_lines(table(spark, d, "documents"))
 
@@ -50,7 +58,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_clean, p3_found, p3_classes, p5_found, p5_bodies, p6_ids, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_quality, p2_found, p2_clean, p3_found, p3_classes, p5_found, p5_bodies, p6_ids, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
