@@ -209,9 +209,9 @@ def _gather(rows: DataFrame, f, k: int, d: int) -> np.ndarray:
     return total
 
 
-def measure(documents: DataFrame, extra=None, extra_type: str = "") -> DataFrame:
-    """``(doc_id, figures)`` of every non-blank document, and with ``extra`` a column of what it makes of the main body's lines and the figures."""
-    templates = pages.load_templates(documents, MEDIA)
+def measure(documents: DataFrame, extra=None, templates: pages.Templates | None = None, keep_source: bool = False) -> DataFrame:
+    """``(doc_id, figures)`` of every document with a text, and with ``extra`` a column of what it makes of the main body's lines and the figures."""
+    templates = templates or pages.load_templates(documents, MEDIA)
     shared = documents.sparkSession.sparkContext.broadcast((templates, extra))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,10 +230,14 @@ def measure(documents: DataFrame, extra=None, extra_type: str = "") -> DataFrame
                 columns = [part.column(0), pa.array(rows, pa.list_(pa.float64()))]
                 if more:
                     columns.append(pa.array(others, pa.list_(pa.float64())))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "figures", "extra"][: len(columns)])
-
-    source = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "media", F.col("text").cast("string"))
-    return source.mapInArrow(run, "doc_id bigint, figures array<double>" + (", extra array<double>" if extra else ""))
+                if keep_source:
+                    columns.append(part.column(3))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "figures"] + ["extra"] * bool(extra) + ["source"] * keep_source
+    kinds = {"doc_id": "bigint", "figures": "array<double>", "extra": "array<double>", "source": "string"}
+    source = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "media", F.col("text").cast("string"), F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"))
+    return source.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
 def judged(measured: DataFrame, mixture: Mixture) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quirelight.common import table
-from quirelight.llm import bpe, leaks, neardup, pages, quality, repeats
+from quirelight.llm import bpe, leaks, levels, neardup, pages, quality, repeats, subjects
 
 #: Where the public vocabularies lie; only the driver reads them.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -41,6 +41,10 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.duplicate_classes(table(spark, d, "tagged_tokens"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pages.boilerplate(table(spark, d, "documents"))
 
@@ -57,8 +61,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return levels.levels(table(spark, d, "documents"), table(spark, d, "level_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_quality, p2_found, p2_clean, p3_found, p3_classes, p5_found, p5_bodies, p6_ids, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_quality, p2_found, p2_clean, p3_found, p3_classes, p4_found, p5_found, p5_bodies, p6_ids, p7_found, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
