@@ -40,7 +40,8 @@ LINK_SHARE = 0.5
 COUNTERS = 4096
 
 _VOLATILE = re.compile(r'"[^"\n]*"|\b[^\W\d_]*\d\w*|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|mon|tue|wed|thu|fri|sat|sun)[^\W\d_]*')
-_OTHER = re.compile(r"[\W\d_]+")
+_CHANGING = re.compile(r'[\d"]')
+_OTHER = re.compile(r"[^\w\n]+|[\d_]+")
 _DROP = bytes(x for x in range(128) if not (chr(x).isalpha() or x == 10))
 _LABEL = re.compile(r"\s*([^\W_]+)((?:[ \xa0]+[^\s:>/»|]{1,24}){0,7}?)[ \xa0]*(:|>|/|»|\||-)[ \xa0]")
 _NO_TITLE = re.compile(r"\d| [/>»|] ")
@@ -54,15 +55,19 @@ def _signed(x: int) -> int:
 
 
 def line_keys(text: str) -> list[int]:
-    """The hash of each line by its lasting letters; 0 for lines without any."""
-    low = _VOLATILE.sub("", text.lower())
+    """The hash of each line by its lasting letters; 0 for lines without any. Dates, counts and identifiers have digits, so other lines are taken as they are."""
+    low = text.lower()
+    if _CHANGING.search(low):
+        low = "\n".join([_VOLATILE.sub("", x) if _CHANGING.search(x) else x for x in low.split("\n")])
     if low.isascii():
         return [_signed(_hash(x)) if x else 0 for x in low.encode().translate(None, _DROP).split(b"\n")]
-    return [_signed(_hash(x)) if x else 0 for x in (_OTHER.sub("", y) for y in low.split("\n"))]
+    return [_signed(_hash(x)) if x else 0 for x in _OTHER.sub("", low).split("\n")]
 
 
 def label_keys(line: str) -> list[int]:
     """Hashes of the label a line begins with: whole, and without its first word."""
+    if not (": " in line or "- " in line or "> " in line or "/ " in line or "» " in line or "| " in line or "\xa0" in line):
+        return []
     m = _LABEL.match(line)
     if not m:
         return []

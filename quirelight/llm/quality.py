@@ -42,6 +42,7 @@ _MARK = re.compile(r"(?:[-–—•*o·#+]|\(?\d{1,3}[.)]|\[\d+\]|\d+(?:\.\d+)+)
 _ENDS = (".", "!", "?", ".\"", ":", "…")
 _LETTERS_BLANKS = bytes(x for x in range(128) if chr(x).isalpha() or chr(x).isspace())
 _PLAIN = b".,'\"-;:!?()"
+_BEYOND = re.compile(r"[^\W\d_\x00-\x7f]+").findall
 _isfw = FUNCTION_WORDS.__contains__
 
 
@@ -77,7 +78,7 @@ def figures(lines: list[str]) -> np.ndarray | None:
     plain = sum(map(rest.count, b"0123456789"))
     odd = len(rest.translate(None, b"0123456789" + _PLAIN))
     if not raw.isascii():  # letters beyond ASCII are no symbols
-        odd -= sum(len(c.encode()) for c in "".join(lines) if not c.isascii() and c.isalpha())
+        odd -= sum(len(x.encode()) for x in _BEYOND("".join(lines)))
     return np.array([fw / words, sentence / total, min(12.0, (total - words) / words), max(0, odd) / total, plain / total, ended / len(lines), marked / total, capitals / words, np.log1p(words / len(lines)), np.log(len(seen) / np.sqrt(words))])
 
 
