@@ -73,21 +73,23 @@ def reversed_paths(value: object, end_key: str) -> list:
     return found
 
 
-@F.pandas_udf("map<string,string>")
-def json_flat(text: pd.Series) -> pd.Series:
+def json_flat(text: Column) -> Column:
     """The leaves of a JSON object by their keys joined with ``_`` (the last of several wins); null for no JSON object."""
 
     def flat(t: str | None) -> dict | None:
         v = _parsed(t)
         return {"_".join(p): x if isinstance(x, str) else json.dumps(x) for p, x in _leaves(v, ())} if isinstance(v, dict) else None
 
-    return text.map(flat)
+    return F.pandas_udf(lambda s: s.map(flat), "map<string,string>", F.PandasUDFType.SCALAR)(text)
 
 
-@F.pandas_udf("array<string>")
-def json_values(text: pd.Series) -> pd.Series:
+def json_values(text: Column) -> Column:
     """The leaves of nested JSON lists, in order; null for no JSON."""
-    return text.map(lambda t: None if (v := _parsed(t)) is None else [x if isinstance(x, str) else json.dumps(x) for x in flatten_values(v)])
+
+    def values(t: str | None) -> list | None:
+        return None if (v := _parsed(t)) is None else [x if isinstance(x, str) else json.dumps(x) for x in flatten_values(v)]
+
+    return F.pandas_udf(lambda s: s.map(values), "array<string>", F.PandasUDFType.SCALAR)(text)
 
 
 def json_reversed(text: Column, end_key: str) -> Column:

@@ -5,7 +5,7 @@ Every operator works within a sample: one hash exchange on ``sample_id`` serves
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Kinds by importance when spans meet on a token, the most important first (fixed values); a missing kind is last.
@@ -14,9 +14,10 @@ OUTSIDE = "O"
 #: Header of a CoNLL document (fixed value).
 DOCSTART = "-DOCSTART- -X- -X- O"
 
-_SAMPLE = Window.partitionBy("sample_id").orderBy("i")
-_BEFORE = _SAMPLE.rowsBetween(Window.unboundedPreceding, -1)
-_SO_FAR = _SAMPLE.rowsBetween(Window.unboundedPreceding, 0)
+
+def _up_to(offset: int) -> WindowSpec:
+    """A sample's rows from the first to the row that is ``offset`` from the current one."""
+    return Window.partitionBy("sample_id").orderBy("i").rowsBetween(Window.unboundedPreceding, offset)
 
 
 def latest_tokens(tokens: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def bioul_to_bio(tokens: DataFrame, contrast: str = "CONTRAST", subject: str = "
     """
     tag, begins = F.col("tag"), [f"{x}-{k}" for x in "UB" for k in (contrast, subject)]
     event = F.when(tag.isin(begins), True).when(tag.isin(OUTSIDE, f"L-{contrast}"), False)
-    opened = F.coalesce(F.last(event, ignorenulls=True).over(_BEFORE), F.lit(False))
+    opened = F.coalesce(F.last(event, ignorenulls=True).over(_up_to(-1)), F.lit(False))
     rest = F.substring(tag, 2, 1000)
     bio = F.when(tag.isin(begins), F.concat(F.when(opened, "I").otherwise("B"), rest)).when(tag.isin(f"L-{contrast}", f"L-{subject}"), F.concat(F.lit("I"), rest)).otherwise(tag)
     return tokens.withColumn("bio", bio)
@@ -50,7 +51,7 @@ def bioul_to_bio(tokens: DataFrame, contrast: str = "CONTRAST", subject: str = "
 
 def parts(tokens: DataFrame, tag: str = "tag") -> DataFrame:
     """``part_no`` (from 1): a part begins at each B; tokens before the first B are left out."""
-    begun = F.sum(F.when(letter(F.col(tag)) == "B", 1).otherwise(0)).over(_SO_FAR)
+    begun = F.sum(F.when(letter(F.col(tag)) == "B", 1).otherwise(0)).over(_up_to(0))
     return tokens.withColumn("part_no", begun.cast("int")).where("part_no > 0")
 
 

@@ -1,6 +1,630 @@
-"""Queries over the test tables, and their equals in SQL."""
+"""Queries over the test tables, each with its equal in SQL where there is one.
+
+The SQL is written independently of the operators wherever it can be said plainly.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+import re
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quirelight.common import shared_dir, table
+from quirelight.functions import html, nested, text
+from quirelight.operators import bio, embed, layout, match, prose, sequences, topics, tuning, words
+from quirelight.streaming import incremental
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _q(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def _token_sql(column: str) -> str:
+    out = f"translate({column}, ' ', '{text.MARK}')"
+    for d in text.DELIMITERS:
+        e = _q(re.escape(d))
+        out = f"regexp_replace({out}, '(^|{text.MARK}){e}+', '\\1', 'g')"
+        out = f"regexp_replace({out}, '{e}+', '{text.MARK}{_q(d)}{text.MARK}', 'g')"
+    return f"list_filter(list_transform(string_split({out}, '{text.MARK}'), lambda t: regexp_replace(t, '^\\s+|\\s+$', '', 'g')), lambda t: t <> '')"
+
+
+_TOKENS = _token_sql("text")
+
+
+# Words
+
+
+@query(f"SELECT doc_id, CAST(len({_TOKENS}) AS INT) AS n_tokens FROM documents WHERE text IS NOT NULL")
+def token_counts(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"))
+
+
+@query(f"SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS token FROM documents) GROUP BY token ORDER BY n DESC, token LIMIT 100")
+def token_freq_topk(spark, d):
+    rows = table(spark, d, "documents").select(F.explode(text.tokens(F.col("text"))).alias("token"))
+    return sequences.first_rows(rows.groupBy("token").agg(F.count("*").alias("n")), [F.desc("n"), "token"], 100)
+
+
+@query(f"SELECT doc_id, CAST(i - 1 AS INT) AS word_index, t[i] AS word FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, {_TOKENS} AS t FROM documents))")
+def index_words(spark, d):
+    return words.index_document(table(spark, d, "documents"))
+
+
+_WORDS = "SELECT doc_id, box_index, i, t[i] AS word FROM (SELECT doc_id, box_index, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, box_index, " + _token_sql("text") + " AS t FROM b))"
+#: One row for each box, as ``layout.distinct_boxes`` has it, from the columns that the queries need.
+_BOXES = """b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, box_index ORDER BY (text IS NOT NULL)::INT + (x IS NOT NULL)::INT DESC, page_number DESC, text DESC NULLS LAST,
+ x DESC NULLS LAST, y DESC NULLS LAST) AS rn FROM boxes) WHERE rn = 1)"""
+
+
+@query(f"WITH {_BOXES} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY box_index, i) - 1 AS BIGINT) AS word_index, word FROM ({_WORDS})")
+def box_words(spark, d):
+    found = words.index_words(layout.distinct_boxes(table(spark, d, "boxes")), order="box_index")
+    return found.select("doc_id", "word_index", "word")
+
+
+@query(f"SELECT doc_id, array_to_string({_TOKENS}, ' ') AS plain, CAST(len({_TOKENS}) AS INT) AS n FROM documents WHERE text IS NOT NULL AND len({_TOKENS}) > 0")
+def document_json(spark, d):
+    found = words.index_document(table(spark, d, "documents")).withColumn("box", F.lit(0))
+    kind = "text string, indexed_words map<string,string>, cuts array<string>"
+    return words.document_json(found).select("doc_id", F.from_json("json", kind).alias("j")).select("doc_id", F.col("j.text").alias("plain"), F.size("j.indexed_words").alias("n"))
+
+
+@query(f"SELECT doc_id, CAST(i - 1 AS INT) AS word_index, '<z id=\"z' || (i - 1) || '\">' || t[i] || '</z>' AS tag FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, {_TOKENS} AS t FROM documents))")
+def word_tags(spark, d):
+    return words.marked_up(words.index_document(table(spark, d, "documents"))).select("doc_id", "word_index", "tag")
+
+
+# Cleaners and names
+
+
+def _cleaner(f: Callable, sql: str) -> Query:
+    def run(spark, d):
+        return table(spark, d, "documents").select("doc_id", f(F.col("text")).alias("clean"))
+
+    run.__name__ = f.__name__
+    return query(f"SELECT doc_id, {sql} AS clean FROM documents")(run)
+
+
+_cleaner(text.alnum_only, "regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')")
+_cleaner(text.punctuation_token, "regexp_replace(text, '[,.;:?!]', 'PCT', 'g')")
+_cleaner(text.inner_strip, "replace(replace(text, '  ', ' '), chr(10), '')")
+_cleaner(text.topic_clean, "regexp_replace(text, '[^ 0-9A-Za-z]', '', 'g')")
+_cleaner(text.collapse_lines, "replace(text, chr(10) || chr(10), chr(10))")
+_cleaner(text.web_whitelist, "regexp_replace(text, '[^0-9A-Za-z !?$%&()+,\\-\\\\./:;\\[\\]_`‘’“”\n]', '', 'g')")
+_cleaner(text.join_wrapped, "replace(replace(regexp_replace(text, '- *\n', '', 'g'), chr(10), ' '), ';', ' ')")
+
+
+@query("SELECT doc_id, string_split(url, '/')[-1] AS base, regexp_replace(replace(url, '''', ''), '[\\n\\t:$ \\\\!@#%^&*()\\-+=\"'';<>?/~`.,]', '_', 'g') AS safe, left(url, 8) || '|' || substr(url, 9) AS marked FROM documents WHERE url IS NOT NULL")
+def url_names(spark, d):
+    u = F.col("url")
+    return table(spark, d, "documents").where("url is not null").select("doc_id", text.basename(u).alias("base"), text.safe_name(u).alias("safe"), text.insert_at(u, 8, "|").alias("marked"))
+
+
+@query("SELECT doc_id, CASE WHEN instr(text, 'Latest Posts') > 0 THEN left(text, instr(text, 'Latest Posts') - 1) ELSE text END AS post FROM documents WHERE media = 'web'")
+def post_cut(spark, d):
+    return table(spark, d, "documents").where("media = 'web'").select("doc_id", text.cut_after(F.col("text"), "Latest Posts").alias("post"))
+
+
+@query("SELECT doc_id, 'out/txt/' || regexp_replace(replace(source, '''', ''), '[^0-9A-Za-z_]', '_', 'g') || '.txt' AS txt_path FROM documents WHERE regexp_full_match(source, '[a-z.\\- ]+')")
+def output_paths(spark, d):
+    rows = table(spark, d, "documents").where(F.col("source").rlike(r"^[a-z.\- ]+$"))
+    return rows.select("doc_id", text.output_paths(F.col("source"), "out")["txt_path"].alias("txt_path"))
+
+
+# Prose
+
+_SHARES = ", ".join(f"({ord(c)}, {n})" for c, n in prose.SAMPLE.items())
+_PROSE_SQL = f"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS ps FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, ps, list_sum(list_transform(ps, lambda p: length(p))) / len(ps) AS mean FROM d),
+p AS (SELECT doc_id, unnest(range(0, len(ps))) AS paragraph_no, unnest(CASE WHEN mean > 80 THEN list_transform(ps, lambda p: replace(replace(regexp_replace(p, '- *\n', '', 'g'), chr(10), ' '), ';', ' ')) ELSE ps END) AS paragraph FROM m),
+c AS (SELECT doc_id, paragraph_no, unnest(list_transform(range(1, length(paragraph) + 1), lambda i: unicode(paragraph[i]))) AS code FROM p),
+n AS (SELECT doc_id, paragraph_no, code, count(*) AS k FROM c GROUP BY ALL),
+s(code, k) AS (VALUES {_SHARES}),
+keys AS (SELECT DISTINCT doc_id, paragraph_no FROM n),
+u AS (SELECT doc_id, paragraph_no, code, k, 0 AS r FROM n UNION ALL SELECT doc_id, paragraph_no, code, 0, k FROM keys, s),
+g AS (SELECT doc_id, paragraph_no, code, sum(k) AS k, sum(r) AS r FROM u GROUP BY ALL),
+f AS (SELECT doc_id, paragraph_no, sum(k) OVER w AS k, sum(r) OVER w AS r, sum(k) OVER (PARTITION BY doc_id, paragraph_no) AS n FROM g WINDOW w AS (PARTITION BY doc_id, paragraph_no ORDER BY code ROWS UNBOUNDED PRECEDING)),
+ks AS (SELECT doc_id, paragraph_no, max(abs(k / n - r / 1018)) AS dist, any_value(n) AS n FROM f GROUP BY ALL)
+SELECT p.doc_id, CAST(p.paragraph_no AS INT) AS paragraph_no, CAST(length(paragraph) AS INT) AS n_chars, coalesce(dist * sqrt(n * 1018 / (n + 1018)) < sqrt(-0.5 * ln(0.0005)), false) AS keep
+FROM p LEFT JOIN ks ON p.doc_id = ks.doc_id AND p.paragraph_no = ks.paragraph_no"""
+
+
+@query(_PROSE_SQL)
+def prose_filter(spark, d):
+    return prose.prose_paragraphs(table(spark, d, "documents")).select("doc_id", "paragraph_no", "n_chars", "keep")
+
+
+@query()
+def prose_text(spark, d):
+    return prose.prose_text(table(spark, d, "documents"))
+
+
+# Annotation
+
+_LATEST = "t AS (SELECT sample_id, i, tok, tag FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, i ORDER BY arrived_at DESC NULLS LAST, tok DESC NULLS LAST, tag DESC NULLS LAST) AS rn FROM tagged_tokens) WHERE rn = 1)"
+_BIO = """v AS (SELECT *, last_value(CASE WHEN tag IN ('U-CONTRAST', 'B-CONTRAST', 'U-SUBJECT', 'B-SUBJECT') THEN true WHEN tag IN ('O', 'L-CONTRAST') THEN false END IGNORE NULLS)
+ OVER (PARTITION BY sample_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened FROM t),
+bio AS (SELECT sample_id, i, tok, tag, CASE WHEN tag IN ('U-CONTRAST', 'B-CONTRAST', 'U-SUBJECT', 'B-SUBJECT') THEN CASE WHEN opened THEN 'I' ELSE 'B' END || tag[2:] WHEN tag IN ('L-CONTRAST', 'L-SUBJECT') THEN 'I' || tag[2:] ELSE tag END AS bio FROM v)"""
+_PARTS = "parts AS (SELECT * FROM (SELECT *, CAST(sum(CASE WHEN bio[1] = 'B' THEN 1 ELSE 0 END) OVER (PARTITION BY sample_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS INT) AS part_no FROM bio) WHERE part_no > 0)"
+_SPANS = """spans AS (SELECT sample_id, part_no, bio[3:] AS kind, CAST(min(i) AS INT) AS span_start, CAST(max(i) + 1 AS INT) AS span_end, count(*) AS n_tokens, string_agg(tok, ' ' ORDER BY i) AS text
+ FROM parts WHERE bio <> 'O' AND bio[3:] NOT IN ('O', '') GROUP BY ALL)"""
+
+
+def _latest(spark, d):
+    return bio.latest_tokens(table(spark, d, "tagged_tokens"))
+
+
+def _bio(spark, d):
+    return bio.bioul_to_bio(_latest(spark, d))
+
+
+@query(f"WITH {_LATEST} SELECT * FROM t")
+def latest_tokens(spark, d):
+    return _latest(spark, d)
+
+
+@query(f"WITH {_LATEST}, {_BIO} SELECT sample_id, i, bio FROM bio")
+def bioul_to_bio(spark, d):
+    return _bio(spark, d).select("sample_id", "i", "bio")
+
+
+@query(f"WITH {_LATEST}, {_BIO}, {_PARTS} SELECT sample_id, i, part_no FROM parts")
+def bio_parts(spark, d):
+    return bio.parts(_bio(spark, d), "bio").select("sample_id", "i", "part_no")
+
+
+@query(f"WITH {_LATEST}, {_BIO}, {_PARTS}, {_SPANS} SELECT sample_id, part_no, kind, span_start, span_end, n_tokens, coalesce(text, '') AS text FROM spans")
+def bio_spans(spark, d):
+    return bio.spans(_bio(spark, d), "bio")
+
+
+@query(f"WITH {_LATEST}, {_BIO}, {_PARTS}, {_SPANS} SELECT sample_id, CAST(count(DISTINCT part_no) AS INT) AS n_parts, count(*) AS n_spans FROM spans GROUP BY sample_id")
+def structured_spans(spark, d):
+    rows = bio.structured_spans(bio.spans(_bio(spark, d), "bio"))
+    return rows.select("sample_id", F.size("parts").alias("n_parts"), F.aggregate("parts", F.lit(0), lambda s, p: s + F.size(p)).cast("bigint").alias("n_spans"))
+
+
+@query(f"WITH {_LATEST}, {_BIO}, {_PARTS}, {_SPANS} SELECT sample_id, kind, CAST(sum(span_end - span_start) AS BIGINT) AS width FROM spans GROUP BY sample_id, kind")
+def spans_by_kind(spark, d):
+    return bio.by_kind(bio.spans(_bio(spark, d), "bio"), F.sum(F.col("span_end") - F.col("span_start")).alias("width"))
+
+
+@query(f"WITH {_LATEST}, {_BIO}, {_PARTS}, {_SPANS} SELECT sample_id, part_no, count(*) AS kinds FROM spans GROUP BY sample_id, part_no")
+def spans_by_part(spark, d):
+    return bio.by_part(bio.spans(_bio(spark, d), "bio"), F.count("*").alias("kinds"))
+
+
+_TRIM = "e AS (SELECT sample_id, min(i) AS lo, max(i) AS hi FROM t WHERE coalesce(tag, '') <> 'O' GROUP BY sample_id), trimmed AS (SELECT t.* FROM t LEFT JOIN e ON t.sample_id = e.sample_id WHERE lo IS NULL OR t.i BETWEEN lo AND hi)"
+
+
+@query(f"WITH {_LATEST}, {_TRIM} SELECT sample_id, i, tok, tag FROM trimmed")
+def trim_outer_o(spark, d):
+    return bio.trim_outside(_latest(spark, d)).select("sample_id", "i", "tok", "tag")
+
+
+@query(f"WITH {_LATEST}, {_TRIM} SELECT min(sample_id) AS sample_id, actual_text FROM (SELECT sample_id, coalesce(string_agg(tok, ' ' ORDER BY i), '') AS actual_text FROM trimmed GROUP BY sample_id) GROUP BY actual_text")
+def distinct_annotations(spark, d):
+    return bio.distinct_annotations(_latest(spark, d))
+
+
+@query(f"WITH {_LATEST}, {_BIO} SELECT sample_id, count(*) FILTER (bio[1] = 'B') AS n_b, count(*) FILTER (bio[1] = 'B') = 2 AS ok FROM bio GROUP BY sample_id")
+def exactly_two_b(spark, d):
+    return bio.exactly_two_begins(_bio(spark, d), "bio")
+
+
+@query(f"""WITH {_LATEST}, {_BIO}, q AS (SELECT *, CASE WHEN length(tok) > 6 THEN 'NN' WHEN length(tok) = 1 THEN NULL ELSE 'VB' END AS pos, count(*) FILTER (bio[1] = 'B') OVER (PARTITION BY sample_id) AS n_b FROM bio),
+l AS (SELECT sample_id, i, concat_ws('  ', tok, coalesce(pos, 'UKN'), CASE WHEN bio[1] = 'O' THEN 'O' ELSE bio[1] || '-' || coalesce(pos, 'UKN') END, bio) AS line FROM q WHERE n_b = 2 AND bio[1] IN ('B', 'I', 'O'))
+SELECT sample_id, i, line FROM l WHERE regexp_matches(line, '^\\S+  \\S+  \\S+  \\S+')""")
+def conll_lines(spark, d):
+    pos = F.when(F.length("tok") > 6, "NN").when(F.length("tok") == 1, None).otherwise("VB")
+    return bio.conll_lines(_bio(spark, d), pos, "bio")
+
+
+@query("""SELECT sample_id, CAST(min(i) AS INT) AS r_start, CAST(max(i) + 1 AS INT) AS r_end FROM (SELECT sample_id, i, i - row_number() OVER (PARTITION BY sample_id ORDER BY i) AS run FROM (SELECT DISTINCT sample_id, i FROM tagged_tokens)) GROUP BY sample_id, run""")
+def islands(spark, d):
+    return bio.islands(table(spark, d, "tagged_tokens"), "sample_id", "i")
+
+
+_PAIRS = """able AS (SELECT DISTINCT sample_id, span_start, span_end, coalesce(kind, '') AS kind FROM editable_spans WHERE able AND span_start < span_end),
+n AS (SELECT DISTINCT sample_id, unnest(range(span_start, span_end)) AS i FROM able),
+r AS (SELECT sample_id, CAST(min(i) AS INT) AS r_start, CAST(max(i) + 1 AS INT) AS r_end FROM (SELECT sample_id, i, i - row_number() OVER (PARTITION BY sample_id ORDER BY i) AS run FROM n) GROUP BY sample_id, run),
+pairs AS (SELECT able.sample_id, r_start, r_end, span_start, span_end, kind FROM able JOIN r ON able.sample_id = r.sample_id AND span_start >= r_start AND span_end <= r_end)"""
+
+
+@query(f"WITH {_PAIRS} SELECT * FROM pairs")
+def pair_spans(spark, d):
+    return bio.pair_spans(table(spark, d, "editable_spans"))
+
+
+@query(f"WITH {_PAIRS} SELECT able.sample_id, span_start, span_end, kind, r_start, r_end FROM able JOIN r ON able.sample_id = r.sample_id AND span_start >= r_start AND span_end <= r_end")
+def contained_spans(spark, d):
+    runs = bio.pair_spans(table(spark, d, "editable_spans")).select("sample_id", "r_start", "r_end").distinct()
+    return bio.contained_in(bio.able_spans(table(spark, d, "editable_spans")), runs)
+
+
+@query(f"""WITH {_LATEST}, {_PAIRS}, m AS (SELECT sample_id, unnest(range(span_start, span_end)) AS i, r_start, kind FROM pairs),
+w AS (SELECT sample_id, i, min_by(tag, rank) AS tag FROM (SELECT sample_id, i, CASE WHEN i = r_start THEN 'B-' ELSE 'I-' END || kind AS tag,
+ (coalesce(list_position(['SUBJECT', 'ASPECT', 'CONTRAST', 'SUBJECT_EXCEPT', 'CONTRAST_MARKER', 'COMPARISON_MARKER', ''], kind), 99), kind) AS rank FROM m) GROUP BY sample_id, i)
+SELECT t.sample_id, t.i, tok, coalesce(w.tag, 'O') AS tag FROM t LEFT JOIN w ON t.sample_id = w.sample_id AND t.i = w.i""")
+def tags_from_spans(spark, d):
+    return bio.tags_from_spans(_latest(spark, d), table(spark, d, "editable_spans"))
+
+
+# Matching
+
+
+@query("""SELECT DISTINCT replace(replace(e.text, '  ', ' '), chr(10), '') AS text FROM eval_items e WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(replace(replace(replace(d.text, '  ', ' '), chr(10), ''), ' ', ''), replace(replace(replace(e.text, '  ', ' '), chr(10), ''), ' ', '')))""")
+def whats_new(spark, d):
+    return match.whats_new(table(spark, d, "eval_items"), table(spark, d, "documents"), "item_id", "doc_id")
+
+
+@query("SELECT doc_id, media FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM subject_labels WHERE doc_id IS NOT NULL)")
+def unseen_docs(spark, d):
+    return match.unseen(table(spark, d, "documents"), table(spark, d, "subject_labels"), "doc_id").select("doc_id", "media")
+
+
+# Sequences
+
+
+@query('SELECT event_id, before, "at", after FROM (SELECT event_id, lag(event_type) OVER w AS before, event_type AS "at", lead(event_type) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE before IS NOT NULL AND after IS NOT NULL')
+def threewise(spark, d):
+    return sequences.threewise(table(spark, d, "events"), "event_type", "user_id", "event_id").select("event_id", "before", "at", "after")
+
+
+@query("SELECT event_id, coalesce(last_value(CASE WHEN value >= 50 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0.0) AS filled FROM events")
+def threshold_fill(spark, d):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return table(spark, d, "events").select("event_id", sequences.threshold_fill(F.col("value"), 50.0, w).alias("filled"))
+
+
+@query("SELECT event_id, max(value > 90) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS near FROM events")
+def dilate_mask(spark, d):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return table(spark, d, "events").select("event_id", sequences.dilate(F.col("value") > 90, 4, w).alias("near"))
+
+
+@query("SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) AS rn FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events WHERE event_type IS NOT NULL GROUP BY ALL)) WHERE rn = 1")
+def mode_first(spark, d):
+    return sequences.mode_first(table(spark, d, "events"), ["user_id"], "event_type", "event_id")
+
+
+@query("""SELECT user_id, CAST(place AS INT) AS place, event_type FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS there FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM
+ (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events) WHERE k > 1) WHERE place <= 2) WHERE there >= 2""")
+def repeating_first_two(spark, d):
+    return sequences.repeating(table(spark, d, "events"), "user_id", "event_type", "event_id")
+
+
+@query("SELECT value, string_agg(CAST(o_custkey AS VARCHAR), ',' ORDER BY o_custkey) AS keys FROM (SELECT DISTINCT o_custkey, o_orderpriority AS value FROM orders) GROUP BY value")
+def invert_lists(spark, d):
+    lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("vals"))
+    return sequences.invert_lists(lists, "o_custkey", "vals").select("value", F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"))
+
+
+@query("SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS seq FROM events")
+def number_rows(spark, d):
+    return sequences.number_rows(table(spark, d, "events"), "user_id", "event_id").select("event_id", "seq")
+
+
+# Layout
+
+_CSS = f"""WITH {_BOXES}, r AS (SELECT doc_id, ident, prop, max(val) AS val FROM css WHERE val IS NOT NULL GROUP BY ALL),
+a AS (SELECT doc_id, box_index, list_sort(list_filter(tag_attributes, lambda c: starts_with(c, 'x') OR starts_with(c, 'y') OR starts_with(c, 'h') OR starts_with(c, 'ff') OR starts_with(c, 'fs'))) AS names FROM b)
+SELECT a.doc_id, box_index, {", ".join(f"coalesce((SELECT val FROM r WHERE r.doc_id = a.doc_id AND r.ident = names[{k}] AND prop = '{p}'), 0.0) AS {p.replace('-', '_')}" for k, p in enumerate(layout.PROPERTIES, 1))} FROM a"""
+
+
+def _boxes(spark, d):
+    return layout.distinct_boxes(table(spark, d, "boxes"))
+
+
+@query(_CSS)
+def css_lookup(spark, d):
+    return layout.css_lookup(_boxes(spark, d), table(spark, d, "css"))
+
+
+_POINTS = f"""{_BOXES}, z AS (SELECT doc_id, page_number, box_index, text, coalesce(x, 0.0) AS x, coalesce(y, 0.0) AS y FROM b),
+pt AS (SELECT *, x / (greatest(max(x) OVER p, 700.0::DOUBLE) - least(min(x) OVER p, 0.0::DOUBLE)) AS nx, y / (greatest(max(y) OVER p, sqrt(2.0::DOUBLE) * 700) - least(min(y) OVER p, 0.0::DOUBLE)) AS ny FROM z WINDOW p AS (PARTITION BY doc_id, page_number))"""
+
+
+@query(f"WITH {_POINTS} SELECT doc_id, box_index, round(nx, 6) AS nx, round(ny, 6) AS ny FROM pt")
+def normalise_points(spark, d):
+    return layout.points(_boxes(spark, d)).select("doc_id", "box_index", F.round("nx", 6).alias("nx"), F.round("ny", 6).alias("ny"))
+
+
+@query(f"WITH {_POINTS} SELECT doc_id, page_number, greatest(least(CAST(trunc(nx * 100) AS INT), 99), 0) AS gx, greatest(least(CAST(trunc(ny * 100) AS INT), 99), 0) AS gy, count(*) AS n FROM pt GROUP BY ALL")
+def grid_bins(spark, d):
+    return layout.grid(layout.points(_boxes(spark, d)))
+
+
+#: Labels by two columns on each page: the density's columns need the kernel and have no equal in SQL.
+_LABELS = f"{_POINTS}, bd AS (SELECT *, coalesce(min(CASE WHEN nx > 0.05 THEN nx END) OVER (PARTITION BY doc_id, page_number), 0.05) AS border FROM pt), lb AS (SELECT *, CAST(trunc((nx - border + 0.9) / (1 - 2 * border) * 2) AS INT) AS label FROM bd)"
+_ORDER = "o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, mean_x, label, y DESC, box_index) - 1 AS seq FROM (SELECT *, avg(x) OVER (PARTITION BY doc_id, page_number, label) AS mean_x FROM lb))"
+
+
+def _labels(spark, d):
+    return layout.column_labels(layout.points(_boxes(spark, d)), F.lit(2))
+
+
+@query(f"WITH {_LABELS} SELECT doc_id, box_index, label AS column_label FROM lb")
+def column_labels(spark, d):
+    return _labels(spark, d).select("doc_id", "box_index", "column_label")
+
+
+_DISTANCES = f"""{_LABELS}, ds AS (SELECT *, abs(y - coalesce(lag(y) OVER dn, 0.0)) AS d1, abs(coalesce(lead(y) OVER dn, 1.0) - y) AS d2 FROM lb WINDOW dn AS (PARTITION BY doc_id, page_number ORDER BY label, y DESC, box_index)),
+sd AS (SELECT *, coalesce(last_value(CASE WHEN d1 >= 0.3 THEN d1 END IGNORE NULLS) OVER (PARTITION BY doc_id, page_number ORDER BY label DESC, y, box_index DESC ROWS UNBOUNDED PRECEDING), 0.0) AS bf,
+ coalesce(last_value(CASE WHEN d2 >= 0.3 THEN d2 END IGNORE NULLS) OVER (PARTITION BY doc_id, page_number ORDER BY label, y DESC, box_index ROWS UNBOUNDED PRECEDING), 0.0) AS bh FROM ds)"""
+
+
+@query(f"WITH {_DISTANCES} SELECT doc_id, box_index, round(bf, 4) AS before, round(bh, 4) AS behind FROM sd")
+def line_distances(spark, d):
+    return layout.line_distances(_labels(spark, d)).select("doc_id", "box_index", F.round("before", 4).alias("before"), F.round("behind", 4).alias("behind"))
+
+
+@query(f"""WITH {_DISTANCES}, md AS (SELECT doc_id, page_number, median(x) AS m FROM (SELECT doc_id, page_number, bf AS x FROM sd UNION ALL SELECT doc_id, page_number, bh FROM sd) GROUP BY ALL)
+SELECT sd.doc_id, box_index, (bf > m * 0.9 AND bf < m * 1.1) OR (bh > m * 0.9 AND bh < m * 1.1) AS in_body FROM sd JOIN md ON sd.doc_id = md.doc_id AND sd.page_number = md.page_number""")
+def body_mask(spark, d):
+    return layout.body_mask(layout.line_distances(_labels(spark, d))).select("doc_id", "box_index", "in_body")
+
+
+@query(f"WITH {_LABELS}, {_ORDER} SELECT doc_id, box_index, CAST(seq AS INT) AS reading_sequence FROM o")
+def reading_order(spark, d):
+    return layout.reading_order(_labels(spark, d)).select("doc_id", "box_index", "reading_sequence")
+
+
+_COLUMN_TEXT = f"WITH {_LABELS}, {_ORDER} SELECT doc_id, page_number, CAST(row_number() OVER (PARTITION BY doc_id, page_number ORDER BY min(seq)) - 1 AS INT) AS column_no, string_agg(coalesce(text, ''), ' ' ORDER BY seq) AS column_text FROM o GROUP BY doc_id, page_number, label"
+
+
+def _column_text(spark, d):
+    return layout.column_text(layout.reading_order(_labels(spark, d)))
+
+
+@query(_COLUMN_TEXT)
+def column_text(spark, d):
+    return _column_text(spark, d)
+
+
+@query(f"""WITH ct AS ({_COLUMN_TEXT}), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page_number) AS n FROM ct),
+k AS (SELECT *, list_transform(range(1, n + 1), lambda j: (length(column_text) - length(replace(column_text, CAST(j AS VARCHAR), ''))) / length(CAST(j AS VARCHAR))) AS c FROM n),
+s AS (SELECT *, CASE WHEN contains(column_text, 'text') AND contains(column_text, 'column') THEN 1 ELSE 0 END + CASE WHEN c[column_no + 1] > 0 THEN 3 * c[column_no + 1] - 3 * (1 + list_sum(c) - c[column_no + 1]) ELSE 0 END AS s FROM k),
+pg AS (SELECT doc_id, page_number, sum(s) AS s, max(n) AS n FROM s GROUP BY ALL)
+SELECT doc_id, CAST(sum(s + 10 + CASE WHEN n = 2 THEN 10 ELSE 0 END) AS DOUBLE) AS score FROM pg GROUP BY doc_id""")
+def layout_score(spark, d):
+    columns = table(spark, d, "boxes").select("doc_id").distinct().withColumn("columns", F.lit(2))
+    return layout.layout_score(_column_text(spark, d), columns, 2)
+
+
+@query()
+def density(spark, d):
+    found = layout.density(layout.points(_boxes(spark, d)))
+    return found.select("doc_id", "page_number", "box_index", F.round("coarse", 9).alias("coarse"), F.round("fine", 9).alias("fine"), "page_columns")
+
+
+@query()
+def density_field(spark, d):
+    found = layout.density_field(layout.points(_boxes(spark, d)))
+    return found.select("doc_id", "gx", "gy", F.round("density", 9).alias("density"))
+
+
+@query()
+def column_count(spark, d):
+    return layout.document_columns(layout.density(layout.points(_boxes(spark, d))))
+
+
+@query()
+def recovered_words(spark, d):
+    return words.index_words(layout.recover(table(spark, d, "boxes"))).select("doc_id", "word_index", "word")
+
+
+# HTML: pages are made of the documents' lines, so that their texts must come out again
+
+_ESCAPED = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+_NO_RETURN = "media = 'web' and text is not null and not contains(text, '\\r') and not contains(text, '\\0')"
+
+
+def _pages(spark, d):
+    body = F.concat(F.lit('<html><head><title>t</title><script>var a = "<b>";</script></head><body><a rel="bookmark" href="/'), F.col("doc_id").cast("string"), F.lit('"></a><div class="post">'), _ESCAPED, F.lit("</div></body></html>"))
+    return table(spark, d, "documents").where(_NO_RETURN).select("doc_id", body.alias("html"))
+
+
+@query("SELECT doc_id, text FROM documents WHERE media = 'web' AND text IS NOT NULL AND NOT contains(text, chr(13)) AND NOT contains(text, chr(0))")
+def html_text(spark, d):
+    return html.visible_text(_pages(spark, d), "doc_id")
+
+
+@query("SELECT doc_id, CAST(0 AS INT) AS seq, '/' || doc_id AS href FROM documents WHERE media = 'web' AND text IS NOT NULL AND NOT contains(text, chr(13)) AND NOT contains(text, chr(0))")
+def html_links(spark, d):
+    return html.links(_pages(spark, d), "doc_id")
+
+
+@query("""SELECT doc_id, CASE WHEN instr(text, 'Latest Posts') > 0 THEN regexp_replace(replace(left(text, instr(text, 'Latest Posts') - 1), chr(10) || chr(10), chr(10)), '[^0-9A-Za-z !?$%&()+,\\-\\\\./:;\\[\\]_`‘’“”\n]', '', 'g') ELSE text END AS text
+ FROM documents WHERE media = 'web' AND text IS NOT NULL AND NOT contains(text, chr(13)) AND NOT contains(text, chr(0))""")
+def html_post(spark, d):
+    return html.post_text(_pages(spark, d), "doc_id")
+
+
+# Embeddings
+
+_EMBEDDED = "t AS (SELECT label AS key, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, embedding AS e FROM embeddings), ph AS (SELECT key, i - 4 AS i, e FROM t WHERE i BETWEEN 4 AND 6)"
+_SCORES = f"""{_EMBEDDED}, sz AS (SELECT key, count(*) AS n FROM t GROUP BY key), sc AS (SELECT t.key, t.i - ph.i AS shift, sum(list_sum(list_transform(range(1, 65), lambda k: t.e[k]::DOUBLE * ph.e[k]::DOUBLE))) AS score
+ FROM t JOIN ph ON t.key = ph.key JOIN sz ON t.key = sz.key WHERE t.i >= ph.i AND t.i - ph.i <= sz.n - 3 GROUP BY ALL)"""
+
+
+def _text_phrase(spark, d):
+    rows = sequences.number_rows(table(spark, d, "embeddings").withColumnRenamed("label", "key"), "key", "vec_id").select("key", F.col("seq").alias("i"), "embedding")
+    return rows, rows.where("i between 4 and 6").withColumn("i", F.col("i") - 4)
+
+
+@query(f"WITH {_SCORES} SELECT key, CAST(shift AS INT) AS shift, round(score, 4) AS score FROM sc")
+def sliding_correlation(spark, d):
+    return embed.sliding_correlation(*_text_phrase(spark, d)).select("key", "shift", F.round("score", 4).alias("score"))
+
+
+@query(f"WITH {_SCORES} SELECT key, CAST(shift AS INT) AS border, CAST(shift + 3 AS BIGINT) AS right_border, round(score, 3) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, shift) AS rn FROM sc) WHERE rn = 1")
+def borders(spark, d):
+    rows, phrase = _text_phrase(spark, d)
+    left = embed.left_border(embed.sliding_correlation(rows, phrase))
+    right = embed.right_border(rows, phrase).select("key", F.col("border").alias("right_border"))
+    return left.join(right, "key").select("key", "border", "right_border", F.round("confidence", 3).alias("confidence"))
+
+
+@query(f"""WITH {_SCORES}, pk AS (SELECT key, shift, score FROM (SELECT *, max(score) OVER (PARTITION BY key) AS best FROM sc) WHERE score >= 0.93 * best)
+SELECT key, CAST(i AS INT) AS i, 'CONTRAST' AS label, round(max(score), 3) AS score FROM (SELECT key, score, unnest(range(shift, shift + 3)) AS i FROM pk) GROUP BY key, i""")
+def label_peaks(spark, d):
+    return embed.label_peaks(*_text_phrase(spark, d), "CONTRAST").select("key", "i", "label", F.round("score", 3).alias("score"))
+
+
+@query("""WITH t AS (SELECT vec_id, label, embedding AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS f FROM embeddings)
+SELECT vec_id, round(-(1 - list_cosine_similarity(e::DOUBLE[], f::DOUBLE[])), 6) AS similarity FROM t WHERE f IS NOT NULL""")
+def neg_cosine(spark, d):
+    rows = table(spark, d, "embeddings").withColumn("before", F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).where("before is not null")
+    return rows.select("vec_id", F.round(embed.negative_cosine([(F.col("embedding"), F.col("before"))]), 6).alias("similarity"))
+
+
+@query("SELECT vec_id, CAST(greatest(len(embedding), 70) AS INT) AS n, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+def pad_right(spark, d):
+    padded = embed.pad_right(F.col("embedding").cast("array<double>"), 70)
+    return table(spark, d, "embeddings").select("vec_id", F.size(padded).alias("n"), F.round(F.aggregate(padded, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+# Tuning
+
+_TRIALS = "c AS (SELECT DISTINCT trial_id, param, val, score FROM trials WHERE param IS NOT NULL AND val IS NOT NULL AND score IS NOT NULL AND NOT isnan(score))"
+
+
+def _trials(spark, d):
+    return tuning.clean_trials(table(spark, d, "trials"))
+
+
+@query(f"WITH {_TRIALS}, m AS (SELECT param, max(score) AS best_score FROM c GROUP BY param) SELECT c.param, best_score, count(*) AS n_best, round(avg(val), 9) AS mean_val, round(stddev_samp(val), 9) AS std_val, min_by(val, trial_id) AS first_val FROM c JOIN m ON c.param = m.param AND score = best_score GROUP BY c.param, best_score")
+def best_trials(spark, d):
+    return tuning.best_trials(_trials(spark, d)).withColumns({"mean_val": F.round("mean_val", 9), "std_val": F.round("std_val", 9)})
+
+
+@query(f"WITH {_TRIALS} SELECT param, val, round(sum(score), 6) AS total FROM c GROUP BY param, val")
+def scores_by_option(spark, d):
+    return tuning.scores_by_option(_trials(spark, d)).withColumn("total", F.round("total", 6))
+
+
+_RANGES = f"{_TRIALS}, r AS (SELECT param, min(val) AS lo, max(val) AS hi FROM c GROUP BY param)"
+
+
+def _ranges(spark, d):
+    low_high = _trials(spark, d).groupBy("param").agg(F.min("val").alias("lo"), F.max("val").alias("hi"))
+    return low_high.select("param", tuning.parameter_range(F.col("lo"), F.col("hi")).alias("vals"))
+
+
+@query(f"WITH {_RANGES} SELECT param, CAST(k AS INT) AS k, round(lo + k * ((hi - lo) / 3), 9) AS val FROM (SELECT *, unnest(range(0, 4)) AS k FROM r)")
+def param_grid(spark, d):
+    return _ranges(spark, d).select("param", F.posexplode("vals").alias("k", "val")).withColumn("val", F.round("val", 9))
+
+
+@query(f"WITH {_RANGES} SELECT param, CAST(k AS INT) AS k, round(hi + 2.0 / 3 * (lo + k * ((hi - lo) / 3) - (lo + hi) / 2), 6) AS val FROM (SELECT *, unnest(range(0, 4)) AS k FROM r)")
+def fractal_range(spark, d):
+    moved = tuning.fractal_range(F.element_at("vals", -1), F.col("vals"))
+    return _ranges(spark, d).select("param", F.posexplode(moved).alias("k", "val")).withColumn("val", F.round("val", 6))
+
+
+@query(f"WITH {_RANGES}, g AS (SELECT param, lo + k * ((hi - lo) / 3) AS val FROM (SELECT *, unnest(range(0, 4)) AS k FROM r)) SELECT g.param, round(g.val, 9) AS val, CAST(1 + (g.param <> 'base')::INT AS INT) AS n, round(g.val, 9) AS setting FROM g")
+def options(spark, d):
+    rows = tuning.options(_ranges(spark, d), F.create_map(F.lit("base"), F.lit(1.0)))
+    return rows.select("param", F.round("val", 9).alias("val"), F.size("settings").alias("n"), F.round(F.element_at("settings", F.col("param")), 9).alias("setting"))
+
+
+@query("SELECT trial_id, param FROM trials WHERE contains(param, 'a')")
+def trials_of_part(spark, d):
+    return tuning.of_parameter(table(spark, d, "trials"), "a", part=True).select("trial_id", "param")
+
+
+# Nested values
+
+
+@query("SELECT event_id, e.key AS key, e.value ->> '$' AS value FROM events, json_each(props) AS e")
+def flatten_props(spark, d):
+    return table(spark, d, "events").select("event_id", F.explode(nested.json_flat(F.col("props"))).alias("key", "value"))
+
+
+@query("SELECT trial_id, coalesce(round(list_sum(list_transform(map_values(state), lambda v: v * 2)), 6), 0.0) AS total FROM trials WHERE state IS NOT NULL")
+def map_leaves(spark, d):
+    doubled = F.map_values(nested.map_values(F.col("state"), lambda v: v * 2))
+    return table(spark, d, "trials").where("state is not null").select("trial_id", F.round(F.aggregate(doubled, F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0))), 6).alias("total"))
+
+
+@query("SELECT count(DISTINCT list_sort(map_entries(state))) AS states FROM trials WHERE state IS NOT NULL")
+def state_hashes(spark, d):
+    return table(spark, d, "trials").where("state is not null").agg(F.count_distinct(nested.map_hash(F.col("state"))).alias("states"))
+
+
+# Topics
+
+_BEST = "w AS (SELECT doc, topic, max(weight) AS weight FROM topic_weights WHERE weight IS NOT NULL AND topic IS NOT NULL GROUP BY ALL), bt AS (SELECT doc, topic FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY weight DESC, topic) AS rn FROM w) WHERE rn = 1)"
+
+
+@query(f"WITH {_BEST} SELECT doc, topic FROM bt")
+def best_topic(spark, d):
+    return topics.best_topic(table(spark, d, "topic_weights"))
+
+
+@query(f"WITH {_BEST} SELECT topic, count(*) AS n, string_agg(doc, ' ' ORDER BY doc) AS docs FROM bt GROUP BY topic")
+def topic_documents(spark, d):
+    rows = topics.topic_documents(topics.best_topic(table(spark, d, "topic_weights")))
+    return rows.select("topic", F.size("docs").cast("bigint").alias("n"), F.array_join("docs", " ").alias("docs"))
+
+
+@query(f"WITH {_BEST} SELECT topic, count(*) AS n_docs, CAST(row_number() OVER (ORDER BY count(*) DESC, topic) AS INT) AS place FROM bt GROUP BY topic")
+def describe_topics(spark, d):
+    return topics.describe(topics.best_topic(table(spark, d, "topic_weights")))
+
+
+_STOPS = "|".join(topics.STOPWORDS)
+_RAKE = f"""ph AS (SELECT doc_id, phrase, count(*) AS n, string_split(phrase, ' ') AS ws FROM (SELECT doc_id, regexp_replace(regexp_replace(p, '\\s+', ' ', 'g'), '^[ ''-]+|[ ''-]+$', '', 'g') AS phrase FROM
+ (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s''-]+', '|', 'g'), '\\b(?:{_STOPS})\\b', '|', 'g'), '|')) AS p FROM documents)) WHERE phrase <> '' GROUP BY ALL),
+cd AS (SELECT * FROM ph WHERE length(phrase) >= 10 AND len(ws) <= 2 AND n >= 2 AND regexp_matches(phrase, '[a-z]')),
+wd AS (SELECT doc_id, word, sum(n * size) / sum(n) AS s FROM (SELECT doc_id, n, len(ws) AS size, unnest(ws) AS word FROM cd) GROUP BY ALL),
+sc AS (SELECT e.doc_id, phrase, sum(s) AS score FROM (SELECT doc_id, phrase, unnest(ws) AS word FROM cd) e JOIN wd ON e.doc_id = wd.doc_id AND e.word = wd.word GROUP BY ALL)"""
+
+
+@query(f"WITH {_RAKE} SELECT d.doc_id, coalesce(phrase, 'no topic set') AS headword FROM documents d LEFT JOIN (SELECT doc_id, phrase, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, phrase) AS rn FROM sc) h ON d.doc_id = h.doc_id AND rn = 1")
+def predict_headwords(spark, d):
+    return topics.predict_headwords(table(spark, d, "documents"), min_frequency=2)
+
+
+@query()
+def topic_headwords(spark, d):
+    best = topics.best_topic(table(spark, d, "topic_weights"))
+    docs = table(spark, d, "documents").where("text is not null")
+    texts = topics.topic_texts(best, docs, F.concat(F.lit("txts/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    return topics.headword_documents(best, topics.headwords(texts, "topic")).select("topic", "headword", F.size("docs").alias("n_docs"))
+
+
+@query()
+def lda_topics(spark, d):
+    return topics.lda_topics(table(spark, d, "documents"), iterations=10)
+
+
+# Streams
+
+
+@query("SELECT doc_id, media FROM documents WHERE regexp_matches(text, '\\S')")
+def stream_unseen(spark, d):
+    source = table(spark, d, "documents")
+    stream = spark.readStream.schema(source.schema).parquet(f"{d}/documents.parque[t]").where(F.col("text").rlike(r"\S")).select("doc_id", "media")
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    incremental.run_once(stream, f"{out}/log", lambda batch, _: incremental.append_unseen(batch, f"{out}/rows", "doc_id"))
+    return spark.read.parquet(f"{out}/rows")
