@@ -9,22 +9,23 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelight.llm import quality
+from quirelight.llm import pages, quality
 
 #: Labelled documents that models are fitted on at most, those with the smallest hashes of their ids.
 LABELLED = 6000
 #: Only documents of so many words are judged.
 LEAST_WORDS = 40
 
-_WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*").findall
-_SPLIT = re.compile(r"(?<=[.!?])\s+")
+_TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*|[.!?](?=\s|$)").findall
 _HYPHEN = re.compile(r"(?<=[^\W\d_])- (?=[a-zß-ÿ])")
 _STOPS = (".", "!", "?", '."')
+_MARKS = (".", "!", "?")
 
 #: Function words by language that the other languages don't have (fixed values).
 ENGLISH = frozenset("the of and to is that it for with by are this be which have not these those whose its how each there you we because although whereas".split())
@@ -34,26 +35,37 @@ OTHERS = frozenset(
 )
 
 
-def sentences(lines: list[str]) -> list[str]:
-    """Sentences of a main body: headings left out, wrapped lines joined."""
+#: Words that tie clauses (fixed values).
+JOINTS = frozenset("because although though whereas while when if until since unless provided insofar inasmuch that which who whose whom but so and or".split())
+
+
+def running_text(lines: list[str]) -> str:
+    """A main body's running text in lower case: headings left out, wrapped lines joined."""
     out: list[str] = []
-    fresh = True
+    fresh, last = True, len(lines) - 1
     for n, s in enumerate(lines):
         end = s.endswith(_STOPS)
-        if fresh and not end and len(s) < 70 and (n + 1 == len(lines) or lines[n + 1][:1].isupper()):
+        if fresh and not end and len(s) < 70 and (n == last or lines[n + 1][:1].isupper()):
             continue
         out.append(s)
         fresh = end
-    return [x for x in _SPLIT.split(_HYPHEN.sub("", " ".join(out))) if x]
+    text = " ".join(out).lower()
+    return _HYPHEN.sub("", text) if "- " in text else text
 
 
-def words(sentence: str) -> list[str]:
-    return _WORD(sentence.lower())
+class Tokens:
+    """Words and sentence ends of a running text."""
 
-
-def english(ws: list[str]) -> bool:
-    """Whether the words are English running text of enough words."""
-    return len(ws) >= LEAST_WORDS and sum(map(ENGLISH.__contains__, ws)) > 2 * sum(map(OTHERS.__contains__, ws))
+    def __init__(self, text: str):
+        self.commas = text.count(",")
+        every = _TOKEN(text)
+        ends = [n for n, w in enumerate(every) if w in _MARKS]
+        self.asked = sum(every[n] != "." for n in ends)
+        self.words = [w for w in every if w not in _MARKS] if ends else every
+        # words before each end; sentences without a word fall away
+        sizes = np.diff(np.concatenate([[0], np.array(ends, int) - np.arange(len(ends)), [len(self.words)]]))
+        self.sizes = sizes[sizes > 0]
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
 
 class Evidence:
@@ -62,12 +74,12 @@ class Evidence:
     #: Words count up to so often in a document; need so many counts; a sentence needs this sum for a class.
     MOST, LEAST, NEED = 3, 2.0, 0.7
 
-    def __init__(self, documents: list[list[list[str]]], weights: np.ndarray):
+    def __init__(self, documents: list[Tokens], weights: np.ndarray):
         """``weights``: of each document its share in each class."""
         n = weights.shape[1]
         counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
         for doc, y in zip(documents, weights):
-            for w, c in Counter(w for s in doc for w in s).items():
+            for w, c in Counter(doc.words).items():
                 counts[w] += y * min(c, self.MOST)
         per_class = np.maximum(1e-9, weights.sum(axis=0))
         prior = per_class / per_class.sum()
@@ -81,22 +93,42 @@ class Evidence:
             if p.max() > 3 / n or n < 6 and p.max() > 1.4 / n:
                 self.place[w] = len(rows)
                 rows.append(np.log(p * n + 0.05))
+        self.informed = len(rows)  # rows from here on only have marks
+        for w in sorted(ENGLISH | OTHERS | JOINTS):
+            if w not in self.place:
+                self.place[w] = len(rows)
+                rows.append(np.zeros(n))
         self.rows = np.array(rows)
-
-    def shares(self, doc: list[list[str]]) -> np.ndarray:
+        marks = np.zeros((len(rows), 3))
+        for w, k in self.place.items():
+            marks[k] = w in ENGLISH, w in OTHERS, w in JOINTS
+        self.marks = marks
+
+    def look_up(self, doc: Tokens) -> np.ndarray:
+        return np.fromiter(map(self.place.get, doc.words, repeat(0)), np.int64, len(doc.words))
+
+    def english(self, ids: np.ndarray) -> bool:
+        """Whether the words are English running text of enough words."""
+        if len(ids) < LEAST_WORDS:
+            return False
+        own, other, _ = self.marks[ids].sum(axis=0)
+        return own > 2 * other
+
+    def shares(self, doc: Tokens, ids: np.ndarray) -> np.ndarray:
         """Of each class the share of the sentences, then of each class the words' mean log-ratio."""
         n = self.rows.shape[1]
-        get = self.place.get
-        ids = [get(w, 0) for s in doc for w in s]
-        sizes = np.array([len(s) for s in doc if s])
-        if not len(sizes):
+        if not len(doc.sizes):
             return np.zeros(2 * n)
         e = self.rows[ids]
-        sums = np.add.reduceat(e, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-        sums = sums[sizes > 1]
+        sums = np.add.reduceat(e, doc.starts)[doc.sizes > 1]
         best = sums.argmax(axis=1)
         got = np.bincount(best[sums.max(axis=1) > self.NEED], minlength=n) / max(1, len(sums)) if len(sums) else np.zeros(n)
-        return np.concatenate([got, e.sum(axis=0) / max(1, np.count_nonzero(ids))])
+        return np.concatenate([got, e.sum(axis=0) / max(1, np.count_nonzero((ids > 0) & (ids < self.informed)))])
+
+
+#: Knows the marks of the languages, and nothing of classes.
+def languages() -> Evidence:
+    return Evidence([], np.zeros((0, 1)))
 
 
 def labelled(documents: DataFrame, labels: DataFrame, value: str, most: int = LABELLED) -> list[tuple[str, list[str], list]]:
@@ -110,9 +142,7 @@ def labelled(documents: DataFrame, labels: DataFrame, value: str, most: int = LA
 
 def bodies(rows: list[tuple], templates) -> list[tuple[str, list[str], list]]:
     """The labelled rows with their main bodies."""
-    from quirelight.llm.pages import line_keys
-
-    return [(source, quality.body_lines(lines, templates.removed(lines, line_keys(text), media == "web")), found) for source, lines, found, media, text in rows]
+    return [(source, quality.body_lines(lines, templates.removed(lines, pages.line_keys(text), media == "web")), found) for source, lines, found, media, text in rows]
 
 
 def folds(sources: list[str], n: int) -> np.ndarray:

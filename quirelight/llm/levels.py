@@ -19,30 +19,37 @@ from pyspark.sql import functions as F
 
 from quirelight.common import cut
 from quirelight.llm import evidence, pages, quality
-from quirelight.llm.evidence import Evidence
+from quirelight.llm.evidence import Evidence, Tokens
 
 GRADES = (1, 2, 3, 4)
 TREES, DEPTH, RATE, BINS, LEAST_LEAF, FOLDS = 120, 3, 0.1, 32, 8, 4
-_JOINTS = frozenset("because although though whereas while when if until since unless provided insofar inasmuch that which who whose whom but so and or".split())
 _EDGES = np.array([4.5, 7.5, 10.5, 14.5, 19.5, 26.5, 35.5])
 _CHARS = np.array([3.5, 5.5, 7.5, 9.5, 12.5])
 
 
-def figures(doc: list[list[str]], sentences: list[str], terms: Evidence) -> np.ndarray:
+def figures(doc: Tokens, ids: np.ndarray, terms: Evidence) -> np.ndarray:
     """Vocabulary (shares of sentences by grade, lengths of words), length and syntax of sentences, cohesion between them."""
-    n_words = np.array([len(s) for s in doc])
-    flat = [w for s in doc for w in s]
-    chars = np.array([len(w) for w in flat])
-    commas = sum(s.count(",") for s in sentences)
-    joints = sum(map(_JOINTS.__contains__, flat))
-    sets = [{w for w in s if len(w) > 3} for s in doc]
-    kept = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(sets, sets[1:])]
+    n_words = doc.sizes
+    chars = np.fromiter(map(len, doc.words), np.int64, len(doc.words))
+    joints = terms.marks[ids, 2].sum()
+    # words of more than three letters that a sentence shares with the one before: equal words of neighbouring sentences stand side by side once sorted
+    long = chars > 3
+    h = np.fromiter(map(hash, doc.words), np.int64, len(doc.words))[long]
+    s = np.repeat(np.arange(len(n_words)), n_words)[long]
+    order = np.lexsort((s, h))
+    h, s = h[order], s[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+    h, s = h[new], s[new]
+    again = (h[1:] == h[:-1]) & (s[1:] == s[:-1] + 1)
+    size = np.bincount(s, minlength=len(n_words))
+    kept = np.bincount(s[1:][again], minlength=len(n_words))[1:] / np.maximum(1, np.minimum(size[1:], size[:-1]))
     return np.concatenate(
         [
-            terms.shares(doc),
+            terms.shares(doc, ids),
             np.bincount(np.searchsorted(_EDGES, n_words), minlength=len(_EDGES) + 1) / len(n_words),
             np.bincount(np.searchsorted(_CHARS, chars), minlength=len(_CHARS) + 1) / len(chars),
-            [n_words.mean(), n_words.std(), chars.mean(), chars.std(), commas / len(n_words), joints / len(flat), np.mean(kept) if kept else 0.0, len(set(flat)) / np.sqrt(len(flat)), sum(s.endswith(("?", "!")) for s in sentences) / max(1, len(sentences))],
+            [n_words.mean(), n_words.std(), chars.mean(), chars.std(), doc.commas / len(n_words), joints / len(chars), kept.mean() if len(kept) else 0.0, len(set(doc.words)) / np.sqrt(len(chars)), doc.asked / len(n_words)],
         ]
     )
 
@@ -54,11 +61,9 @@ class Features:
         self.terms = terms
 
     def __call__(self, body: list[str], _: np.ndarray | None) -> np.ndarray | None:
-        parts = evidence.sentences(body)
-        doc = [w for w in map(evidence.words, parts) if w]
-        if not evidence.english([w for s in doc for w in s]):
-            return None
-        return figures(doc, parts, self.terms)
+        doc = Tokens(evidence.running_text(body))
+        ids = self.terms.look_up(doc)
+        return figures(doc, ids, self.terms) if self.terms.english(ids) else None
 
 
 class Boosted:
@@ -160,23 +165,22 @@ class Levels:
 
 def train(rows: list[tuple[str, list[str], list]]) -> tuple[Features, Levels] | None:
     """The vocabulary and the trees, from main bodies with their grades."""
-    docs = []
+    docs, known = [], evidence.languages()
     for source, body, found in rows:
         grades = [g for g in found if g in GRADES]
-        parts = evidence.sentences(body)
-        doc = [w for w in map(evidence.words, parts) if w]
-        if grades and evidence.english([w for s in doc for w in s]):
-            docs.append((source, doc, parts, float(np.mean(grades))))
+        doc = Tokens(evidence.running_text(body))
+        if grades and known.english(known.look_up(doc)):
+            docs.append((source, doc, float(np.mean(grades))))
     if len(docs) < 4 * FOLDS:
         return None
-    y = np.array([d[3] for d in docs])
+    y = np.array([d[2] for d in docs])
     weights = np.eye(len(GRADES))[np.clip(np.round(y).astype(int) - 1, 0, len(GRADES) - 1)]
     fold = evidence.folds([d[0] for d in docs], FOLDS)
     x = [None] * len(docs)
     for f in range(FOLDS):
         terms = Evidence([d[1] for d, g in zip(docs, fold) if g != f], weights[fold != f])
         for n in np.flatnonzero(fold == f):
-            x[n] = figures(docs[n][1], docs[n][2], terms)
+            x[n] = figures(docs[n][1], terms.look_up(docs[n][1]), terms)
     return Features(Evidence([d[1] for d in docs], weights)), Levels(np.array(x), y, fold)
 
 

@@ -20,28 +20,27 @@ from pyspark.sql import functions as F
 
 from quirelight.common import cut
 from quirelight.llm import evidence, pages, quality
-from quirelight.llm.evidence import Evidence
+from quirelight.llm.evidence import Evidence, Tokens
 
 FOLDS, BEAM, RIDGE = 4, 8, 1.0
 #: Subjects of a document at most, as the problem is stated.
 MOST = 2
 
 
-def _sentences(body: list[str]) -> list[list[str]]:
-    return [w for w in map(evidence.words, evidence.sentences(body)) if w]
-
-
 class Features:
     """Term and structure features of a main body; called on the executors."""
 
     def __init__(self, terms: Evidence):
         self.terms = terms
 
-    def __call__(self, body: list[str], figures: np.ndarray | None) -> np.ndarray | None:
-        doc = _sentences(body)
-        if not evidence.english([w for s in doc for w in s]):
-            return None
-        return np.concatenate([self.terms.shares(doc), [np.log1p(len(doc))]])
+    def __call__(self, body: list[str], _: np.ndarray | None) -> np.ndarray | None:
+        doc = Tokens(evidence.running_text(body))
+        ids = self.terms.look_up(doc)
+        return features(self.terms, doc, ids) if self.terms.english(ids) else None
+
+
+def features(terms: Evidence, doc: Tokens, ids: np.ndarray) -> np.ndarray:
+    return np.concatenate([terms.shares(doc, ids), [np.log1p(len(doc.sizes))]])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
@@ -103,8 +102,9 @@ class Chain:
 
 def train(rows: list[tuple[str, list[str], list]], names: list[str]) -> tuple[Features, Chain] | None:
     """The term features and the chain, from main bodies with their labels."""
-    docs = [(source, _sentences(body), [names.index(s) for s in found if s in names]) for source, body, found in rows]
-    docs = [d for d in docs if d[2] and evidence.english([w for s in d[1] for w in s])]
+    known = evidence.languages()
+    docs = [(source, Tokens(evidence.running_text(body)), [names.index(s) for s in found if s in names]) for source, body, found in rows]
+    docs = [d for d in docs if d[2] and known.english(known.look_up(d[1]))]
     if len(docs) < FOLDS:
         return None
     y = np.zeros((len(docs), len(names)))
@@ -114,9 +114,9 @@ def train(rows: list[tuple[str, list[str], list]], names: list[str]) -> tuple[Fe
     fold = np.arange(len(docs)) % FOLDS
     x = np.zeros((len(docs), 2 * len(names) + 1))
     for f in range(FOLDS):
-        part = Features(Evidence([t for t, g in zip(texts, fold) if g != f], weights[fold != f]))
+        part = Evidence([t for t, g in zip(texts, fold) if g != f], weights[fold != f])
         for n in np.flatnonzero(fold == f):
-            x[n] = np.concatenate([part.terms.shares(texts[n]), [np.log1p(len(texts[n]))]])
+            x[n] = features(part, texts[n], part.look_up(texts[n]))
     return Features(Evidence(texts, weights)), Chain(x, y, [d[0] for d in docs])
 
 
