@@ -80,7 +80,11 @@ def json_flat(text: Column) -> Column:
         v = _parsed(t)
         return {"_".join(p): x if isinstance(x, str) else json.dumps(x) for p, x in _leaves(v, ())} if isinstance(v, dict) else None
 
-    return F.pandas_udf(lambda s: s.map(flat), "map<string,string>", F.PandasUDFType.SCALAR)(text)
+    @F.pandas_udf("map<string,string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(flat)
+
+    return run(text)
 
 
 def json_values(text: Column) -> Column:
@@ -89,7 +93,11 @@ def json_values(text: Column) -> Column:
     def values(t: str | None) -> list | None:
         return None if (v := _parsed(t)) is None else [x if isinstance(x, str) else json.dumps(x) for x in flatten_values(v)]
 
-    return F.pandas_udf(lambda s: s.map(values), "array<string>", F.PandasUDFType.SCALAR)(text)
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(values)
+
+    return run(text)
 
 
 def json_reversed(text: Column, end_key: str) -> Column:

@@ -205,7 +205,7 @@ def column_text(ordered: DataFrame) -> DataFrame:
 def pages_to_columns(texts: DataFrame) -> DataFrame:
     """``(doc_id, pages)``: page to column to text."""
     pages = texts.groupBy("doc_id", "page_number").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("column_no", "column_text")))).alias("columns"))
-    return pages.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("page_number", "columns")))).alias("pages"))
+    return pages.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("page_number", "columns"))).alias("pages"))
 
 
 def layout_score(texts: DataFrame, columns: DataFrame, expected: int, own_label_counts: bool = False) -> DataFrame:
