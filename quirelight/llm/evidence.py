@@ -8,10 +8,10 @@ its sentences that each class got. Words are looked up, so a document costs one
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from itertools import repeat
+from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +22,12 @@ LABELLED = 6000
 #: Only documents of so many words are judged.
 LEAST_WORDS = 40
 
-_TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*|[.!?](?=\s|$)").findall
 _HYPHEN = re.compile(r"(?<=[^\W\d_])- (?=[a-zß-ÿ])")
 _STOPS = (".", "!", "?", '."')
-_MARKS = (".", "!", "?")
+#: Marks around words; closing marks that may stand behind a sentence's end.
+_AROUND, _BEHIND = "\"'“”‘’«»()[]{}<>.,;:!?…*_-–—=+/|\\", "\"'”’»)]"
+#: Entries of a worker's memo of tokens; a full memo is emptied, which changes no result.
+MEMO = 400_000
 
 #: Function words by language that the other languages don't have (fixed values).
 ENGLISH = frozenset("the of and to is that it for with by are this be which have not these those whose its how each there you we because although whereas".split())
@@ -53,17 +55,44 @@ def running_text(lines: list[str]) -> str:
     return _HYPHEN.sub("", text) if "- " in text else text
 
 
+class Lexicon(dict):
+    """Tokens to numbers that say all about them: from the lowest bit on sentence end (1), question or exclamation (1), comma (1),
+    word (1), letters (6), hash (24), place in the vocabulary (the rest; 0 for unknown words)."""
+
+    def __init__(self, vocabulary: dict[str, int], grow: bool = False):
+        super().__init__()
+        self.vocabulary, self.grow = vocabulary, grow
+
+    def __missing__(self, token: str) -> int:
+        word = token.strip(_AROUND)
+        tail = token.rstrip(_BEHIND)[-1:]
+        value = (tail in (".", "!", "?")) | (tail in ("!", "?")) << 1 | (tail == ",") << 2
+        if any(map(str.isalpha, word)):
+            place = self.vocabulary.setdefault(word, len(self.vocabulary) + 1) if self.grow else self.vocabulary.get(word, 0)
+            value |= 8 | min(len(word), 63) << 4 | (xxhash.xxh32_intdigest(word) >> 8) << 10 | place << 34
+        if len(self) >= MEMO:
+            self.clear()
+        self[token] = value
+        return value
+
+    def __reduce__(self):
+        return Lexicon, (self.vocabulary, self.grow)
+
+
 class Tokens:
     """Words and sentence ends of a running text."""
 
-    def __init__(self, text: str):
-        self.commas = text.count(",")
-        every = _TOKEN(text)
-        ends = [n for n, w in enumerate(every) if w in _MARKS]
-        self.asked = sum(every[n] != "." for n in ends)
-        self.words = [w for w in every if w not in _MARKS] if ends else every
-        # words before each end; sentences without a word fall away
-        sizes = np.diff(np.concatenate([[0], np.array(ends, int) - np.arange(len(ends)), [len(self.words)]]))
+    def __init__(self, text: str, lexicon: Lexicon):
+        every = text.split()
+        v = np.fromiter(map(lexicon.__getitem__, every), np.int64, len(every))
+        is_word = v & 8 > 0
+        before = np.cumsum(is_word)
+        ends = before[v & 1 > 0]
+        self.asked, self.commas = int((v & 2 > 0).sum()), int((v & 4 > 0).sum())
+        w = v[is_word]
+        self.places, self.chars, self.hashes = w >> 34, w >> 4 & 63, w >> 10 & 0xFFFFFF
+        # words of each sentence; sentences without a word fall away
+        sizes = np.diff(np.concatenate([[0], ends, [len(w)]]))
         self.sizes = sizes[sizes > 0]
         self.starts = np.cumsum(self.sizes) - self.sizes
 
@@ -74,38 +103,37 @@ class Evidence:
     #: Words count up to so often in a document; need so many counts; a sentence needs this sum for a class.
     MOST, LEAST, NEED = 3, 2.0, 0.7
 
-    def __init__(self, documents: list[Tokens], weights: np.ndarray):
-        """``weights``: of each document its share in each class."""
-        n = weights.shape[1]
-        counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
-        for doc, y in zip(documents, weights):
-            for w, c in Counter(doc.words).items():
-                counts[w] += y * min(c, self.MOST)
+    def __init__(self, documents: list[Tokens], weights: np.ndarray, vocabulary: dict[str, int]):
+        """``weights``: of each document its share in each class. The documents' places are those of the vocabulary."""
+        n, size = weights.shape[1], len(vocabulary) + 1
+        pairs = [np.unique(d.places, return_counts=True) for d in documents]
+        words = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(pairs)), [len(p[0]) for p in pairs])
+        often = np.minimum(np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0), self.MOST)
+        counts = np.stack([np.bincount(words, often * weights[owner, j], size) for j in range(n)], axis=1)
         per_class = np.maximum(1e-9, weights.sum(axis=0))
-        prior = per_class / per_class.sum()
-        self.place: dict[str, int] = {}
-        rows = [np.zeros(n)]
-        for w, c in sorted(counts.items()):
-            if c.sum() < self.LEAST:
-                continue
-            rate = (c + 0.3 * prior) / per_class
-            p = rate / rate.sum()
-            if p.max() > 3 / n or n < 6 and p.max() > 1.4 / n:
-                self.place[w] = len(rows)
-                rows.append(np.log(p * n + 0.05))
-        self.informed = len(rows)  # rows from here on only have marks
-        for w in sorted(ENGLISH | OTHERS | JOINTS):
-            if w not in self.place:
-                self.place[w] = len(rows)
-                rows.append(np.zeros(n))
-        self.rows = np.array(rows)
-        marks = np.zeros((len(rows), 3))
-        for w, k in self.place.items():
-            marks[k] = w in ENGLISH, w in OTHERS, w in JOINTS
-        self.marks = marks
+        rate = (counts + 0.3 * per_class / per_class.sum()) / per_class
+        p = rate / rate.sum(axis=1, keepdims=True)
+        used = (counts.sum(axis=1) >= self.LEAST) & ((p.max(axis=1) > 3 / n) | (n < 6) & (p.max(axis=1) > 1.4 / n))
+        used[0] = False
+        marks = np.zeros((size, 3))
+        for k, group in enumerate((ENGLISH, OTHERS, JOINTS)):
+            marks[[vocabulary[w] for w in group if w in vocabulary], k] = 1
+        kept = np.flatnonzero(used | (marks.sum(axis=1) > 0))
+        self.row = np.zeros(size, np.int64)  # of each place its row; 0 has words that say nothing
+        self.row[kept] = np.arange(1, len(kept) + 1)
+        self.rows = np.vstack([np.zeros(n), np.where(used[kept, None], np.log(p[kept] * n + 0.05), 0.0)])
+        self.marks = np.vstack([np.zeros(3), marks[kept]])
+        self.informed = np.concatenate([[False], used[kept]])
+
+    def compact(self, vocabulary: dict[str, int]) -> dict[str, int]:
+        """Only the words that have a row, with their rows as places; the evidence is then over these."""
+        small = {w: int(self.row[k]) for w, k in vocabulary.items() if self.row[k]}
+        self.row = np.arange(len(self.rows))
+        return small
 
     def look_up(self, doc: Tokens) -> np.ndarray:
-        return np.fromiter(map(self.place.get, doc.words, repeat(0)), np.int64, len(doc.words))
+        return self.row[doc.places]
 
     def english(self, ids: np.ndarray) -> bool:
         """Whether the words are English running text of enough words."""
@@ -123,12 +151,12 @@ class Evidence:
         sums = np.add.reduceat(e, doc.starts)[doc.sizes > 1]
         best = sums.argmax(axis=1)
         got = np.bincount(best[sums.max(axis=1) > self.NEED], minlength=n) / max(1, len(sums)) if len(sums) else np.zeros(n)
-        return np.concatenate([got, e.sum(axis=0) / max(1, np.count_nonzero((ids > 0) & (ids < self.informed)))])
+        return np.concatenate([got, e.sum(axis=0) / max(1, np.count_nonzero(self.informed[ids]))])
 
 
-#: Knows the marks of the languages, and nothing of classes.
-def languages() -> Evidence:
-    return Evidence([], np.zeros((0, 1)))
+def fresh_lexicon() -> Lexicon:
+    """A lexicon for training, which has the marked words and takes in what comes."""
+    return Lexicon({w: n for n, w in enumerate(sorted(ENGLISH | OTHERS | JOINTS), 1)}, grow=True)
 
 
 def labelled(documents: DataFrame, labels: DataFrame, value: str, most: int = LABELLED) -> list[tuple[str, list[str], list]]:

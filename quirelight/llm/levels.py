@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quirelight.common import cut
 from quirelight.llm import evidence, pages, quality
-from quirelight.llm.evidence import Evidence, Tokens
+from quirelight.llm.evidence import Evidence, Lexicon, Tokens
 
 GRADES = (1, 2, 3, 4)
 TREES, DEPTH, RATE, BINS, LEAST_LEAF, FOLDS = 120, 3, 0.1, 32, 8, 4
@@ -30,11 +30,11 @@ _CHARS = np.array([3.5, 5.5, 7.5, 9.5, 12.5])
 def figures(doc: Tokens, ids: np.ndarray, terms: Evidence) -> np.ndarray:
     """Vocabulary (shares of sentences by grade, lengths of words), length and syntax of sentences, cohesion between them."""
     n_words = doc.sizes
-    chars = np.fromiter(map(len, doc.words), np.int64, len(doc.words))
+    chars = doc.chars
     joints = terms.marks[ids, 2].sum()
     # words of more than three letters that a sentence shares with the one before: equal words of neighbouring sentences stand side by side once sorted
     long = chars > 3
-    h = np.fromiter(map(hash, doc.words), np.int64, len(doc.words))[long]
+    h = doc.hashes[long]
     s = np.repeat(np.arange(len(n_words)), n_words)[long]
     order = np.lexsort((s, h))
     h, s = h[order], s[order]
@@ -49,7 +49,7 @@ def figures(doc: Tokens, ids: np.ndarray, terms: Evidence) -> np.ndarray:
             terms.shares(doc, ids),
             np.bincount(np.searchsorted(_EDGES, n_words), minlength=len(_EDGES) + 1) / len(n_words),
             np.bincount(np.searchsorted(_CHARS, chars), minlength=len(_CHARS) + 1) / len(chars),
-            [n_words.mean(), n_words.std(), chars.mean(), chars.std(), doc.commas / len(n_words), joints / len(chars), kept.mean() if len(kept) else 0.0, len(set(doc.words)) / np.sqrt(len(chars)), doc.asked / len(n_words)],
+            [n_words.mean(), n_words.std(), chars.mean(), chars.std(), doc.commas / len(n_words), joints / len(chars), kept.mean() if len(kept) else 0.0, len(np.unique(doc.hashes)) / np.sqrt(len(chars)), doc.asked / len(n_words)],
         ]
     )
 
@@ -57,11 +57,11 @@ def figures(doc: Tokens, ids: np.ndarray, terms: Evidence) -> np.ndarray:
 class Features:
     """Level features of a main body; called on the executors."""
 
-    def __init__(self, terms: Evidence):
-        self.terms = terms
+    def __init__(self, terms: Evidence, lexicon: Lexicon):
+        self.terms, self.lexicon = terms, lexicon
 
     def __call__(self, body: list[str], _: np.ndarray | None) -> np.ndarray | None:
-        doc = Tokens(evidence.running_text(body))
+        doc = Tokens(evidence.running_text(body), self.lexicon)
         ids = self.terms.look_up(doc)
         return figures(doc, ids, self.terms) if self.terms.english(ids) else None
 
@@ -165,12 +165,14 @@ class Levels:
 
 def train(rows: list[tuple[str, list[str], list]]) -> tuple[Features, Levels] | None:
     """The vocabulary and the trees, from main bodies with their grades."""
-    docs, known = [], evidence.languages()
+    docs, lexicon = [], evidence.fresh_lexicon()
     for source, body, found in rows:
         grades = [g for g in found if g in GRADES]
-        doc = Tokens(evidence.running_text(body))
-        if grades and known.english(known.look_up(doc)):
-            docs.append((source, doc, float(np.mean(grades))))
+        if grades:
+            docs.append((source, Tokens(evidence.running_text(body), lexicon), float(np.mean(grades))))
+    words = lexicon.vocabulary
+    known = Evidence([], np.zeros((0, 1)), words)
+    docs = [d for d in docs if known.english(known.look_up(d[1]))]
     if len(docs) < 4 * FOLDS:
         return None
     y = np.array([d[2] for d in docs])
@@ -178,10 +180,11 @@ def train(rows: list[tuple[str, list[str], list]]) -> tuple[Features, Levels] |
     fold = evidence.folds([d[0] for d in docs], FOLDS)
     x = [None] * len(docs)
     for f in range(FOLDS):
-        terms = Evidence([d[1] for d, g in zip(docs, fold) if g != f], weights[fold != f])
+        terms = Evidence([d[1] for d, g in zip(docs, fold) if g != f], weights[fold != f], words)
         for n in np.flatnonzero(fold == f):
             x[n] = figures(docs[n][1], terms.look_up(docs[n][1]), terms)
-    return Features(Evidence([d[1] for d in docs], weights)), Levels(np.array(x), y, fold)
+    terms = Evidence([d[1] for d in docs], weights, words)
+    return Features(terms, Lexicon(terms.compact(words))), Levels(np.array(x), y, fold)
 
 
 def levels(documents: DataFrame, labels: DataFrame, most: int = evidence.LABELLED) -> DataFrame:

@@ -39,7 +39,9 @@ LINK_SHARE = 0.5
 #: Counters of a summary.
 COUNTERS = 4096
 
-_VOLATILE = re.compile(r'"[^"\n]*"|\b[^\W\d_]*\d\w*|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|mon|tue|wed|thu|fri|sat|sun)[^\W\d_]*')
+#: Beginnings of the names of months and weekdays; in lines with digits words that begin so don't count (fixed values).
+_CALENDAR = frozenset("jan feb mar apr may jun jul aug sep oct nov dec mon tue wed thu fri sat sun".split())
+_NAMED = re.compile(r'"[^"]*"|[^\W\d_]*\d\w*').sub
 _CHANGING = re.compile(r'[\d"]')
 _OTHER = re.compile(r"[^\w\n]+|[\d_]+")
 _DROP = bytes(x for x in range(128) if not (chr(x).isalpha() or x == 10))
@@ -54,11 +56,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= _SIGNED else x
 
 
+def _lasting(line: str) -> str:
+    """A line in lower case without identifiers that have digits, quoted words and words of dates."""
+    return " ".join([w if w.isalpha() or not _CHANGING.search(w) else _NAMED("", w) for w in line.split() if w[:3] not in _CALENDAR])
+
+
 def line_keys(text: str) -> list[int]:
     """The hash of each line by its lasting letters; 0 for lines without any. Dates, counts and identifiers have digits, so other lines are taken as they are."""
     low = text.lower()
     if _CHANGING.search(low):
-        low = "\n".join([_VOLATILE.sub("", x) if _CHANGING.search(x) else x for x in low.split("\n")])
+        low = "\n".join([_lasting(x) if _CHANGING.search(x) else x for x in low.split("\n")])
     if low.isascii():
         return [_signed(_hash(x)) if x else 0 for x in low.encode().translate(None, _DROP).split(b"\n")]
     return [_signed(_hash(x)) if x else 0 for x in _OTHER.sub("", low).split("\n")]
@@ -71,7 +78,7 @@ def label_keys(line: str) -> list[int]:
     m = _LABEL.match(line)
     if not m:
         return []
-    first, more, sign = m.group(1).lower(), _OTHER.sub("", _VOLATILE.sub("", m.group(2).lower())), m.group(3)
+    first, more, sign = m.group(1).lower(), _OTHER.sub("", _lasting(m.group(2).lower())), m.group(3)
     keys = [_signed(_hash(f"label {first}{more}{sign}"))]
     if more or sign == "-":
         keys.append(_signed(_hash(f"label *{more}{sign}")))
@@ -91,8 +98,8 @@ def under(key: int) -> int:
     return _signed(_hash(key.to_bytes(8, "little", signed=True) + b"links"))
 
 
-def page_keys(text: str) -> set[int]:
-    """All subtree hashes of a page."""
+def page_keys(text: str, page: bool = True) -> set[int]:
+    """All subtree hashes of a page; of other documents those without links."""
     keys = line_keys(text)
     found = set(keys)
     lines = text.split("\n")
@@ -100,7 +107,7 @@ def page_keys(text: str) -> set[int]:
     for at, n in enumerate(there):
         line = lines[n]
         found.update(label_keys(line))
-        if len(line) < 60 and keys[n] and at + 2 < len(there) and is_link(lines[there[at + 1]]) and is_link(lines[there[at + 2]]):
+        if page and len(line) < 60 and keys[n] and at + 2 < len(there) and is_link(lines[there[at + 1]]) and is_link(lines[there[at + 2]]):
             found.add(under(keys[n]))
     found.discard(0)
     return found
@@ -148,7 +155,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if host not in held:
                     held[host], waiting[host], docs[host] = HeavyHitters(COUNTERS), [], 0
                 docs[host] += 1
-                waiting[host].extend(page_keys(text))
+                waiting[host].extend(page_keys(text, host.startswith("web ")))
                 if len(waiting[host]) > 100_000:
                     held[host].add(np.array(waiting[host], np.int64))
                     waiting[host] = []

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quirelight.common import cut
 from quirelight.llm import evidence, pages, quality
-from quirelight.llm.evidence import Evidence, Tokens
+from quirelight.llm.evidence import Evidence, Lexicon, Tokens
 
 FOLDS, BEAM, RIDGE = 4, 8, 1.0
 #: Subjects of a document at most, as the problem is stated.
@@ -30,11 +30,11 @@ MOST = 2
 class Features:
     """Term and structure features of a main body; called on the executors."""
 
-    def __init__(self, terms: Evidence):
-        self.terms = terms
+    def __init__(self, terms: Evidence, lexicon: Lexicon):
+        self.terms, self.lexicon = terms, lexicon
 
     def __call__(self, body: list[str], _: np.ndarray | None) -> np.ndarray | None:
-        doc = Tokens(evidence.running_text(body))
+        doc = Tokens(evidence.running_text(body), self.lexicon)
         ids = self.terms.look_up(doc)
         return features(self.terms, doc, ids) if self.terms.english(ids) else None
 
@@ -102,8 +102,10 @@ class Chain:
 
 def train(rows: list[tuple[str, list[str], list]], names: list[str]) -> tuple[Features, Chain] | None:
     """The term features and the chain, from main bodies with their labels."""
-    known = evidence.languages()
-    docs = [(source, Tokens(evidence.running_text(body)), [names.index(s) for s in found if s in names]) for source, body, found in rows]
+    lexicon = evidence.fresh_lexicon()
+    docs = [(source, Tokens(evidence.running_text(body), lexicon), [names.index(s) for s in found if s in names]) for source, body, found in rows]
+    words = lexicon.vocabulary
+    known = Evidence([], np.zeros((0, 1)), words)
     docs = [d for d in docs if d[2] and known.english(known.look_up(d[1]))]
     if len(docs) < FOLDS:
         return None
@@ -114,10 +116,11 @@ def train(rows: list[tuple[str, list[str], list]], names: list[str]) -> tuple[Fe
     fold = np.arange(len(docs)) % FOLDS
     x = np.zeros((len(docs), 2 * len(names) + 1))
     for f in range(FOLDS):
-        part = Evidence([t for t, g in zip(texts, fold) if g != f], weights[fold != f])
+        part = Evidence([t for t, g in zip(texts, fold) if g != f], weights[fold != f], words)
         for n in np.flatnonzero(fold == f):
             x[n] = features(part, texts[n], part.look_up(texts[n]))
-    return Features(Evidence(texts, weights)), Chain(x, y, [d[0] for d in docs])
+    terms = Evidence(texts, weights, words)
+    return Features(terms, Lexicon(terms.compact(words))), Chain(x, y, [d[0] for d in docs])
 
 
 def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, most: int = evidence.LABELLED) -> DataFrame:
