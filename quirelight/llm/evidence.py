@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -47,7 +48,7 @@ def running_text(lines: list[str]) -> str:
     fresh, last = True, len(lines) - 1
     for n, s in enumerate(lines):
         end = s.endswith(_STOPS)
-        if fresh and not end and len(s) < 70 and (n == last or lines[n + 1][:1].isupper()):
+        if fresh and not end and len(s) < 70 and s[-1:] != "," and (n == last or lines[n + 1][:1].isupper() and not lines[n + 1].isupper()):
             continue
         out.append(s)
         fresh = end
@@ -80,21 +81,33 @@ class Lexicon(dict):
 
 
 class Tokens:
-    """Words and sentence ends of a running text."""
-
-    def __init__(self, text: str, lexicon: Lexicon):
-        every = text.split()
-        v = np.fromiter(map(lexicon.__getitem__, every), np.int64, len(every))
+    """Words and sentence ends of several running texts, in one array each."""
+
+    def __init__(self, texts: list[str], lexicon: Lexicon):
+        every = [t.split() for t in texts]
+        lengths = [len(t) for t in every]
+        self.n = n = len(texts)
+        v = np.fromiter(map(lexicon.__getitem__, chain.from_iterable(every)), np.int64, sum(lengths))
+        text = np.repeat(np.arange(n), lengths)
+        ended = np.cumsum(v & 1) - (v & 1)
+        self.asked = np.bincount(text, v >> 1 & 1, n)
+        self.commas = np.bincount(text, v >> 2 & 1, n)
         is_word = v & 8 > 0
-        before = np.cumsum(is_word)
-        ends = before[v & 1 > 0]
-        self.asked, self.commas = int((v & 2 > 0).sum()), int((v & 4 > 0).sum())
-        w = v[is_word]
+        w, ended, self.text = v[is_word], ended[is_word], text[is_word]
         self.places, self.chars, self.hashes = w >> 34, w >> 4 & 63, w >> 10 & 0xFFFFFF
-        # words of each sentence; sentences without a word fall away
-        sizes = np.diff(np.concatenate([[0], ends, [len(w)]]))
-        self.sizes = sizes[sizes > 0]
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.words = np.bincount(self.text, minlength=n)
+        # a sentence begins where a text does or one has ended; sentences without a word fall away
+        new = np.ones(len(w), bool)
+        new[1:] = (ended[1:] != ended[:-1]) | (self.text[1:] != self.text[:-1])
+        self.starts = np.flatnonzero(new)
+        self.sizes = np.diff(np.append(self.starts, len(w)))
+        self.sentence = np.cumsum(new) - 1
+        self.owner = self.text[self.starts]
+        self.sentences = np.bincount(self.owner, minlength=n)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of each text the sum over its words."""
+        return np.bincount(self.text, values, self.n)
 
 
 class Evidence:
@@ -103,14 +116,12 @@ class Evidence:
     #: Words count up to so often in a document; need so many counts; a sentence needs this sum for a class.
     MOST, LEAST, NEED = 3, 2.0, 0.7
 
-    def __init__(self, documents: list[Tokens], weights: np.ndarray, vocabulary: dict[str, int]):
-        """``weights``: of each document its share in each class. The documents' places are those of the vocabulary."""
+    def __init__(self, words: tuple[np.ndarray, np.ndarray, np.ndarray], weights: np.ndarray, vocabulary: dict[str, int]):
+        """``words``: document, place in the vocabulary and count of each word of each document; ``weights``: of each document its share in each class."""
         n, size = weights.shape[1], len(vocabulary) + 1
-        pairs = [np.unique(d.places, return_counts=True) for d in documents]
-        words = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(pairs)), [len(p[0]) for p in pairs])
-        often = np.minimum(np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0), self.MOST)
-        counts = np.stack([np.bincount(words, often * weights[owner, j], size) for j in range(n)], axis=1)
+        owner, place, often = words
+        often = np.minimum(often, self.MOST)
+        counts = np.stack([np.bincount(place, often * weights[owner, j], size) for j in range(n)], axis=1)
         per_class = np.maximum(1e-9, weights.sum(axis=0))
         rate = (counts + 0.3 * per_class / per_class.sum()) / per_class
         p = rate / rate.sum(axis=1, keepdims=True)
@@ -132,26 +143,47 @@ class Evidence:
         self.row = np.arange(len(self.rows))
         return small
 
-    def look_up(self, doc: Tokens) -> np.ndarray:
-        return self.row[doc.places]
-
-    def english(self, ids: np.ndarray) -> bool:
-        """Whether the words are English running text of enough words."""
-        if len(ids) < LEAST_WORDS:
-            return False
-        own, other, _ = self.marks[ids].sum(axis=0)
-        return own > 2 * other
+    def english(self, tokens: Tokens, rows: np.ndarray) -> np.ndarray:
+        """Of each text whether it is English running text of enough words."""
+        own, other = (tokens.sums(self.marks[rows, k]) for k in (0, 1))
+        return (tokens.words >= LEAST_WORDS) & (own > 2 * other)
 
-    def shares(self, doc: Tokens, ids: np.ndarray) -> np.ndarray:
-        """Of each class the share of the sentences, then of each class the words' mean log-ratio."""
+    def shares(self, tokens: Tokens, rows: np.ndarray) -> np.ndarray:
+        """Of each text and class the share of the sentences, then the words' mean log-ratio."""
         n = self.rows.shape[1]
-        if not len(doc.sizes):
-            return np.zeros(2 * n)
-        e = self.rows[ids]
-        sums = np.add.reduceat(e, doc.starts)[doc.sizes > 1]
+        if not len(rows):
+            return np.zeros((tokens.n, 2 * n))
+        sums = np.add.reduceat(self.rows[rows], tokens.starts)
+        longer = tokens.sizes > 1
         best = sums.argmax(axis=1)
-        got = np.bincount(best[sums.max(axis=1) > self.NEED], minlength=n) / max(1, len(sums)) if len(sums) else np.zeros(n)
-        return np.concatenate([got, e.sum(axis=0) / max(1, np.count_nonzero(self.informed[ids]))])
+        sure = longer & (sums.max(axis=1) > self.NEED)
+        got = np.bincount(tokens.owner[sure] * n + best[sure], minlength=tokens.n * n).reshape(-1, n)
+        of = np.maximum(1, np.bincount(tokens.owner[longer], minlength=tokens.n))
+        total = np.stack([np.bincount(tokens.owner, sums[:, j], tokens.n) for j in range(n)], axis=1)
+        return np.hstack([got / of[:, None], total / np.maximum(1, tokens.sums(self.informed[rows]))[:, None]])
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def word_counts(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place and count of each different known word of each text."""
+    every = np.sort(tokens.text << 32 | tokens.places)
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, int)
+    return every[first] >> 32, every[first] & 0xFFFFFFFF, np.diff(np.append(first, len(every)))
+
+
+def no_words() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
+
+
+def within(words: tuple[np.ndarray, np.ndarray, np.ndarray], there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of some of the documents."""
+    keep = there[words[0]]
+    return words[0][keep], words[1][keep], words[2][keep]
 
 
 def fresh_lexicon() -> Lexicon:

@@ -25,45 +25,63 @@ GRADES = (1, 2, 3, 4)
 TREES, DEPTH, RATE, BINS, LEAST_LEAF, FOLDS = 120, 3, 0.1, 32, 8, 4
 _EDGES = np.array([4.5, 7.5, 10.5, 14.5, 19.5, 26.5, 35.5])
 _CHARS = np.array([3.5, 5.5, 7.5, 9.5, 12.5])
+_CHAR_BIN = np.searchsorted(_CHARS, np.arange(64))
 
 
-def figures(doc: Tokens, ids: np.ndarray, terms: Evidence) -> np.ndarray:
+def _spread(values: np.ndarray, owner: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Mean and standard deviation of each text's values."""
+    mean = np.bincount(owner, values, len(of)) / of
+    square = np.bincount(owner, values.astype(float) ** 2, len(of)) / of
+    return np.stack([mean, np.sqrt(np.maximum(0, square - mean**2))], axis=1)
+
+
+def _shares(bins: np.ndarray, owner: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
+    return np.bincount(owner * k + bins, minlength=len(of) * k).reshape(-1, k) / of[:, None]
+
+
+def cohesion(t: Tokens) -> np.ndarray:
+    """Of each text the mean share of a sentence's words of more than three letters that it has in common with the one before.
+
+    Words are sorted by text, word and sentence: a word that stands in neighbouring sentences then stands side by side.
+    """
+    long = t.chars > 3
+    code = (t.text[long] << 44) | (t.hashes[long] << 20) | np.minimum(t.sentence[long] - np.searchsorted(t.owner, t.text[long]), (1 << 20) - 1)
+    code = evidence.distinct(code)
+    text, at = code >> 44, code & ((1 << 20) - 1)
+    sentence = np.searchsorted(t.owner, text) + at
+    again = (code[1:] == code[:-1] + 1) & (at[1:] > 0)
+    size = np.bincount(sentence, minlength=len(t.sizes))
+    both = np.bincount(sentence[1:][again], minlength=len(t.sizes))
+    kept = np.zeros(len(t.sizes))
+    kept[1:] = both[1:] / np.maximum(1, np.minimum(size[1:], size[:-1]))
+    return np.bincount(t.owner, kept, t.n) / np.maximum(1, t.sentences - 1)
+
+
+def figures(t: Tokens, rows: np.ndarray, terms: Evidence) -> np.ndarray:
     """Vocabulary (shares of sentences by grade, lengths of words), length and syntax of sentences, cohesion between them."""
-    n_words = doc.sizes
-    chars = doc.chars
-    joints = terms.marks[ids, 2].sum()
-    # words of more than three letters that a sentence shares with the one before: equal words of neighbouring sentences stand side by side once sorted
-    long = chars > 3
-    h = doc.hashes[long]
-    s = np.repeat(np.arange(len(n_words)), n_words)[long]
-    order = np.lexsort((s, h))
-    h, s = h[order], s[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-    h, s = h[new], s[new]
-    again = (h[1:] == h[:-1]) & (s[1:] == s[:-1] + 1)
-    size = np.bincount(s, minlength=len(n_words))
-    kept = np.bincount(s[1:][again], minlength=len(n_words))[1:] / np.maximum(1, np.minimum(size[1:], size[:-1]))
-    return np.concatenate(
+    words, parts = np.maximum(1, t.words), np.maximum(1, t.sentences)
+    different = np.bincount(evidence.distinct((t.text << 24) | t.hashes) >> 24, minlength=t.n)
+    single = [t.commas / parts, t.sums(terms.marks[rows, 2]) / words, cohesion(t), different / np.sqrt(words), t.asked / parts]
+    return np.hstack(
         [
-            terms.shares(doc, ids),
-            np.bincount(np.searchsorted(_EDGES, n_words), minlength=len(_EDGES) + 1) / len(n_words),
-            np.bincount(np.searchsorted(_CHARS, chars), minlength=len(_CHARS) + 1) / len(chars),
-            [n_words.mean(), n_words.std(), chars.mean(), chars.std(), doc.commas / len(n_words), joints / len(chars), kept.mean() if len(kept) else 0.0, len(np.unique(doc.hashes)) / np.sqrt(len(chars)), doc.asked / len(n_words)],
+            terms.shares(t, rows),
+            _shares(np.searchsorted(_EDGES, t.sizes), t.owner, parts, len(_EDGES) + 1),
+            _shares(_CHAR_BIN[t.chars], t.text, words, len(_CHARS) + 1),
+            _spread(t.sizes, t.owner, parts), _spread(t.chars, t.text, words), np.stack(single, axis=1),
         ]
-    )
+    )
 
 
 class Features:
-    """Level features of a main body; called on the executors."""
+    """Level features of main bodies; called on the executors."""
 
     def __init__(self, terms: Evidence, lexicon: Lexicon):
         self.terms, self.lexicon = terms, lexicon
 
-    def __call__(self, body: list[str], _: np.ndarray | None) -> np.ndarray | None:
-        doc = Tokens(evidence.running_text(body), self.lexicon)
-        ids = self.terms.look_up(doc)
-        return figures(doc, ids, self.terms) if self.terms.english(ids) else None
+    def __call__(self, bodies: list[list[str]]) -> list[np.ndarray | None]:
+        tokens = Tokens([evidence.running_text(b) for b in bodies], self.lexicon)
+        rows = self.terms.row[tokens.places]
+        return [x if own else None for x, own in zip(figures(tokens, rows, self.terms), self.terms.english(tokens, rows))]
 
 
 class Boosted:
@@ -133,12 +151,14 @@ class Boosted:
 
 
 def cut_points(predicted: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Between neighbouring grades the point with the fewest errors; the middle of the best ones."""
+    """Between neighbouring grades the point with the fewest errors, those at points nearby counted as well, as single wrong labels would move it."""
     points = []
+    window = np.hanning(27)[1:-1]
     for g in GRADES[:-1]:
-        below, tries = y <= g, np.linspace(g + 0.05, g + 0.95, 91)
+        below, tries = y <= g, np.linspace(g - 0.05, g + 1.05, 111)
         wrong = np.array([((predicted <= t) != below).sum() for t in tries])
-        points.append(tries[wrong == wrong.min()].mean())
+        near = np.convolve(wrong, window / window.sum(), "valid")
+        points.append(tries[12:-12][near <= near.min() + 1e-9].mean())
     return np.maximum.accumulate(points)
 
 
@@ -165,26 +185,24 @@ class Levels:
 
 def train(rows: list[tuple[str, list[str], list]]) -> tuple[Features, Levels] | None:
     """The vocabulary and the trees, from main bodies with their grades."""
-    docs, lexicon = [], evidence.fresh_lexicon()
-    for source, body, found in rows:
-        grades = [g for g in found if g in GRADES]
-        if grades:
-            docs.append((source, Tokens(evidence.running_text(body), lexicon), float(np.mean(grades))))
-    words = lexicon.vocabulary
-    known = Evidence([], np.zeros((0, 1)), words)
-    docs = [d for d in docs if known.english(known.look_up(d[1]))]
-    if len(docs) < 4 * FOLDS:
+    lexicon = evidence.fresh_lexicon()
+    docs = [(source, evidence.running_text(body), [g for g in found if g in GRADES]) for source, body, found in rows]
+    docs = [d for d in docs if d[2]]
+    tokens = Tokens([d[1] for d in docs], lexicon)
+    vocabulary = lexicon.vocabulary
+    known = Evidence(evidence.no_words(), np.zeros((0, 1)), vocabulary)
+    there = known.english(tokens, known.row[tokens.places])
+    if there.sum() < 4 * FOLDS:
         return None
-    y = np.array([d[2] for d in docs])
-    weights = np.eye(len(GRADES))[np.clip(np.round(y).astype(int) - 1, 0, len(GRADES) - 1)]
-    fold = evidence.folds([d[0] for d in docs], FOLDS)
-    x = [None] * len(docs)
+    y = np.array([np.mean(d[2]) for d in docs])
+    weights = np.eye(len(GRADES))[np.clip(np.round(y).astype(int) - 1, 0, len(GRADES) - 1)] * there[:, None]
+    fold, words, x = evidence.folds([d[0] for d in docs], FOLDS), evidence.word_counts(tokens), None
     for f in range(FOLDS):
-        terms = Evidence([d[1] for d, g in zip(docs, fold) if g != f], weights[fold != f], words)
-        for n in np.flatnonzero(fold == f):
-            x[n] = figures(docs[n][1], terms.look_up(docs[n][1]), terms)
-    terms = Evidence([d[1] for d in docs], weights, words)
-    return Features(terms, Lexicon(terms.compact(words))), Levels(np.array(x), y, fold)
+        part = Evidence(evidence.within(words, fold != f), weights * (fold != f)[:, None], vocabulary)
+        own = figures(tokens, part.row[tokens.places], part)
+        x = own if x is None else np.where((fold == f)[:, None], own, x)
+    terms = Evidence(words, weights, vocabulary)
+    return Features(terms, Lexicon(terms.compact(vocabulary))), Levels(x[there], y[there], fold[there])
 
 
 def levels(documents: DataFrame, labels: DataFrame, most: int = evidence.LABELLED) -> DataFrame:

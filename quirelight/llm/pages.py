@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelight.common import BROADCAST_BYTES, clean_source, cut
+from quirelight.common import BROADCAST_BYTES, bounded_broadcast, clean_source, cut
 from quirelight.llm.repeats import HeavyHitters
 
 #: A subtree is template from so many pages and such a share of a host's pages on.
@@ -103,12 +103,17 @@ def page_keys(text: str, page: bool = True) -> set[int]:
     keys = line_keys(text)
     found = set(keys)
     lines = text.split("\n")
-    there = [n for n, k in enumerate(lines) if k and not k.isspace()]
-    for at, n in enumerate(there):
-        line = lines[n]
-        found.update(label_keys(line))
-        if page and len(line) < 60 and keys[n] and at + 2 < len(there) and is_link(lines[there[at + 1]]) and is_link(lines[there[at + 2]]):
-            found.add(under(keys[n]))
+    for line in lines:
+        if own := label_keys(line):
+            found.update(own)
+    if page:
+        there = [n for n, k in enumerate(lines) if k and not k.isspace()]
+        links = [False, False]  # of the next line and the one behind it
+        for n in reversed(there):
+            line = lines[n]
+            if links[0] and links[1] and keys[n] and len(line) < 60:
+                found.add(under(keys[n]))
+            links = [is_link(line), links[0]]
     found.discard(0)
     return found
 
@@ -166,8 +171,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def subtree_counts(documents: DataFrame) -> DataFrame:
-    """``(host, key, n)``: documents of each host that have a subtree; key 0 has the host's documents."""
-    texts = documents.where("text is not null").select(host_of(documents).alias("host"), F.col("text").cast("string"))
+    """``(host, key, n)``: documents of each host that have a subtree; key 0 has the host's documents.
+
+    Of equal texts on a host only one counts, else much-copied articles would be template. Groups of copies, not their
+    rows, are looked up, so a hot group is one row.
+    """
+    texts = documents.where("text is not null").select(host_of(documents).alias("host"), F.col("text").cast("string"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("bigint").alias("id"), F.xxhash64("text").alias("h"))
+    copied = cut(texts.groupBy("host", "h").agg(F.min("id").alias("kept"), F.count("*").alias("copies")).where("copies > 1").select("host", "h", "kept"))
+    texts = texts.join(bounded_broadcast(copied, copied.count(), 80), ["host", "h"], "left").where("kept is null or kept = id").select("host", "text")
     counted = texts.mapInArrow(_count, "host string, key bigint, n bigint").groupBy("host", "key").agg(F.sum("n").alias("n"))
     return counted.withColumn("media", F.split("host", " ")[0])
 

@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ _ENDS = (".", "!", "?", ".\"", ":", "…")
 _LETTERS_BLANKS = bytes(x for x in range(128) if chr(x).isalpha() or chr(x).isspace())
 _PLAIN = b".,'\"-;:!?()"
 _BEYOND = re.compile(r"[^\W\d_\x00-\x7f]+").findall
-_isfw = FUNCTION_WORDS.__contains__
+_DIGITS = b"0123456789"
 
 
 def body_lines(lines: list[str], gone: list[bool]) -> list[str]:
@@ -51,35 +53,56 @@ def body_lines(lines: list[str], gone: list[bool]) -> list[str]:
     return [s for s, x in zip(map(str.strip, lines), gone) if not x and s and not (len(s) <= 4 and s.isdigit())]
 
 
-def figures(lines: list[str]) -> np.ndarray | None:
-    """``FIGURES`` of a main body; None without any line."""
-    if not lines:
-        return None
-    words = fw = sentence = total = ended = marked = capitals = 0
-    seen: set[str] = set()
-    for s in lines:
-        n_chars = len(s)
-        total += n_chars
-        ws = s.lower().split()
-        n = len(ws)
-        f = sum(map(_isfw, ws))
-        words += n
-        fw += f
-        seen.update(ws)
-        up = 0 if s.isupper() else sum(map(str.istitle, s.split()))
-        capitals += up
-        ended += s.endswith(_ENDS)
-        if _MARK.match(s):
-            marked += n_chars
-        elif f >= 0.17 * n and f >= 1 and (n > 2) and up <= 0.45 * n:
-            sentence += n_chars
-    raw = "\n".join(lines).encode()
-    rest = raw.translate(None, _LETTERS_BLANKS)
-    plain = sum(map(rest.count, b"0123456789"))
-    odd = len(rest.translate(None, b"0123456789" + _PLAIN))
-    if not raw.isascii():  # letters beyond ASCII are no symbols
-        odd -= sum(len(x.encode()) for x in _BEYOND("".join(lines)))
-    return np.array([fw / words, sentence / total, min(12.0, (total - words) / words), max(0, odd) / total, plain / total, ended / len(lines), marked / total, capitals / words, np.log1p(words / len(lines)), np.log(len(seen) / np.sqrt(words))])
+class _Memo(dict):
+    """Tokens to numbers: function word (lowest bit), begins with a capital (1), hash without case (the rest)."""
+
+    def __missing__(self, token: str) -> int:
+        low = token.lower()
+        value = self[token] = (low in FUNCTION_WORDS) | token.istitle() << 1 | (xxhash.xxh32_intdigest(low) >> 2) << 2
+        return value
+
+
+_MEMO = _Memo()
+#: Entries of a worker's memo; a full memo is emptied, which changes no result.
+MEMO = 400_000
+
+
+def figures(bodies: list[list[str]]) -> list[np.ndarray | None]:
+    """``FIGURES`` of each main body; None for one without any line."""
+    if len(_MEMO) > MEMO:
+        _MEMO.clear()
+    lines = list(chain.from_iterable(bodies))
+    text = np.repeat(np.arange(len(bodies)), [len(b) for b in bodies])
+    tokens = [s.split() for s in lines]
+    n = np.array([len(t) for t in tokens], np.int64)
+    v = np.fromiter(map(_MEMO.__getitem__, chain.from_iterable(tokens)), np.int64, int(n.sum()))
+    line = np.repeat(np.arange(len(lines)), n)
+    f, up = np.bincount(line, v & 1, len(lines)), np.bincount(line, v >> 1 & 1, len(lines))
+    up[np.array([s.isupper() for s in lines], bool)] = 0
+    chars = np.array([len(s) for s in lines], np.int64)
+    marked = np.array([_MARK.match(s) is not None for s in lines], bool)
+    sentence = ~marked & (f >= 0.17 * n) & (f >= 1) & (n > 2) & (up <= 0.45 * n)
+    ended = np.array([s.endswith(_ENDS) for s in lines], bool)
+    of = lambda values: np.bincount(text, values, len(bodies))
+    code = np.sort(text[line] << 32 | v >> 2)
+    different = np.bincount(code[np.concatenate([[True], code[1:] != code[:-1]])] >> 32, minlength=len(bodies)) if len(code) else np.zeros(len(bodies))
+    words, total, count = of(n), of(chars), of(np.ones(len(lines)))
+    sums = np.stack([of(f), of(chars * sentence), of(ended), of(chars * marked), of(up), different], axis=1)
+    out: list[np.ndarray | None] = []
+    for k, body in enumerate(bodies):
+        if not body:
+            out.append(None)
+            continue
+        raw = "\n".join(body).encode()
+        rest = raw.translate(None, _LETTERS_BLANKS)
+        marks = rest.translate(None, _DIGITS)
+        odd = len(marks.translate(None, _PLAIN))
+        if not raw.isascii():  # letters beyond ASCII are no symbols
+            odd -= sum(len(x.encode()) for x in _BEYOND("".join(body)))
+        w, c, m = words[k], total[k], count[k]
+        fw, in_sentences, ends, in_marked, caps, kinds = sums[k]
+        out.append(np.array([fw / w, in_sentences / c, min(12.0, (c - w) / w), max(0, odd) / c, (len(rest) - len(marks)) / c, ends / m, in_marked / c, caps / w, np.log1p(w / m), np.log(kinds / np.sqrt(w))]))
+    return out
 
 
 #: Figures of inspected documents, in the order of ``FIGURES``, and what they are: measures, records and logs are tables; bullets,
@@ -117,6 +140,8 @@ EXAMPLES = (
 )
 #: Rounds of expectation-maximization; least variance of a standardized figure in a component.
 ROUNDS, LEAST_VARIANCE = 10, 0.02
+#: Least scale of a figure, as a share of its deviation among the examples.
+LEAST_SCALE = 0.3
 MEDIA = ("web", "pdf", "txt")
 
 
@@ -184,7 +209,9 @@ def fit(measured: DataFrame, rounds: int = ROUNDS) -> Mixture:
     if not n:
         return Mixture(np.zeros(d), np.ones(d))
     shift = np.array(sums[:d]) / n
-    m = Mixture(shift, np.sqrt(np.maximum(1e-4, np.array(sums[d:]) / n - shift**2)))
+    # a corpus that is all alike must not be stretched until its documents look unlike
+    least = LEAST_SCALE * np.std([x[1] for x in EXAMPLES], axis=0)
+    m = Mixture(shift, np.maximum(least, np.sqrt(np.maximum(0, np.array(sums[d:]) / n - shift**2))))
     for _ in range(rounds):
 
         def expectation(batches: Iterator[pa.RecordBatch], m: Mixture = m) -> Iterator[pa.RecordBatch]:
@@ -211,7 +238,7 @@ def _gather(rows: DataFrame, f, k: int, d: int) -> np.ndarray:
 
 
 def measure(documents: DataFrame, extra=None, templates: pages.Templates | None = None, keep_source: bool = False) -> DataFrame:
-    """``(doc_id, figures)`` of every document with a text, and with ``extra`` a column of what it makes of the main body's lines and the figures."""
+    """``(doc_id, figures)`` of every document with a text, and with ``extra`` a column of what it makes of a list of main bodies."""
     templates = templates or pages.load_templates(documents, MEDIA)
     shared = documents.sparkSession.sparkContext.broadcast((templates, extra))
 
@@ -220,17 +247,13 @@ def measure(documents: DataFrame, extra=None, templates: pages.Templates | None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows, others = [], []
+                bodies = []
                 for media, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     lines = text.split("\n")
-                    body = body_lines(lines, t.removed(lines, pages.line_keys(text), media == "web"))
-                    x = figures(body)
-                    rows.append(x)
-                    if more:
-                        others.append(more(body, x) if x is not None else None)
-                columns = [part.column(0), pa.array(rows, pa.list_(pa.float64()))]
+                    bodies.append(body_lines(lines, t.removed(lines, pages.line_keys(text), media == "web")))
+                columns = [part.column(0), pa.array(figures(bodies), pa.list_(pa.float64()))]
                 if more:
-                    columns.append(pa.array(others, pa.list_(pa.float64())))
+                    columns.append(pa.array(more(bodies), pa.list_(pa.float64())))
                 if keep_source:
                     columns.append(part.column(3))
                 yield pa.RecordBatch.from_arrays(columns, names)

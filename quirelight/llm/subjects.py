@@ -28,19 +28,19 @@ MOST = 2
 
 
 class Features:
-    """Term and structure features of a main body; called on the executors."""
+    """Term and structure features of main bodies; called on the executors."""
 
     def __init__(self, terms: Evidence, lexicon: Lexicon):
         self.terms, self.lexicon = terms, lexicon
 
-    def __call__(self, body: list[str], _: np.ndarray | None) -> np.ndarray | None:
-        doc = Tokens(evidence.running_text(body), self.lexicon)
-        ids = self.terms.look_up(doc)
-        return features(self.terms, doc, ids) if self.terms.english(ids) else None
+    def __call__(self, bodies: list[list[str]]) -> list[np.ndarray | None]:
+        tokens = Tokens([evidence.running_text(b) for b in bodies], self.lexicon)
+        rows = self.terms.row[tokens.places]
+        return [x if own else None for x, own in zip(features(self.terms, tokens, rows), self.terms.english(tokens, rows))]
 
 
-def features(terms: Evidence, doc: Tokens, ids: np.ndarray) -> np.ndarray:
-    return np.concatenate([terms.shares(doc, ids), [np.log1p(len(doc.sizes))]])
+def features(terms: Evidence, tokens: Tokens, rows: np.ndarray) -> np.ndarray:
+    return np.hstack([terms.shares(tokens, rows), np.log1p(tokens.sentences)[:, None]])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
@@ -103,24 +103,26 @@ class Chain:
 def train(rows: list[tuple[str, list[str], list]], names: list[str]) -> tuple[Features, Chain] | None:
     """The term features and the chain, from main bodies with their labels."""
     lexicon = evidence.fresh_lexicon()
-    docs = [(source, Tokens(evidence.running_text(body), lexicon), [names.index(s) for s in found if s in names]) for source, body, found in rows]
-    words = lexicon.vocabulary
-    known = Evidence([], np.zeros((0, 1)), words)
-    docs = [d for d in docs if d[2] and known.english(known.look_up(d[1]))]
-    if len(docs) < FOLDS:
+    docs = [(source, evidence.running_text(body), [names.index(s) for s in found if s in names]) for source, body, found in rows]
+    docs = [d for d in docs if d[2]]
+    tokens = Tokens([d[1] for d in docs], lexicon)
+    vocabulary = lexicon.vocabulary
+    known = Evidence(evidence.no_words(), np.zeros((0, 1)), vocabulary)
+    there = known.english(tokens, known.row[tokens.places])
+    if there.sum() < FOLDS:
         return None
     y = np.zeros((len(docs), len(names)))
     for n, d in enumerate(docs):
         y[n, d[2]] = 1
-    weights, texts = y / y.sum(axis=1, keepdims=True), [d[1] for d in docs]
+    weights, words = y / y.sum(axis=1, keepdims=True) * there[:, None], evidence.word_counts(tokens)
     fold = np.arange(len(docs)) % FOLDS
     x = np.zeros((len(docs), 2 * len(names) + 1))
     for f in range(FOLDS):
-        part = Evidence([t for t, g in zip(texts, fold) if g != f], weights[fold != f], words)
-        for n in np.flatnonzero(fold == f):
-            x[n] = features(part, texts[n], part.look_up(texts[n]))
-    terms = Evidence(texts, weights, words)
-    return Features(terms, Lexicon(terms.compact(words))), Chain(x, y, [d[0] for d in docs])
+        part = Evidence(evidence.within(words, fold != f), weights * (fold != f)[:, None], vocabulary)
+        x[fold == f] = features(part, tokens, part.row[tokens.places])[fold == f]
+    terms = Evidence(words, weights, vocabulary)
+    sources = [d[0] for d, own in zip(docs, there) if own]
+    return Features(terms, Lexicon(terms.compact(vocabulary))), Chain(x[there], y[there], sources)
 
 
 def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, most: int = evidence.LABELLED) -> DataFrame:
