@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelight.common import clean_source
 from quirelight.llm import pages, quality
 
 #: Labelled documents that models are fitted on at most, those with the smallest hashes of their ids.
@@ -191,18 +192,18 @@ def fresh_lexicon() -> Lexicon:
     return Lexicon({w: n for n, w in enumerate(sorted(ENGLISH | OTHERS | JOINTS), 1)}, grow=True)
 
 
-def labelled(documents: DataFrame, labels: DataFrame, value: str, most: int = LABELLED) -> list[tuple[str, list[str], list]]:
+def labelled(ready: pages.Removal, labels: DataFrame, value: str, most: int = LABELLED) -> list[tuple[str, list[str], list]]:
     """``(source, lines of the main body, distinct labels)`` of at most ``most`` labelled documents."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull()).groupBy("doc_id").agg(F.sort_array(F.collect_set(value)).alias("labels"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    few = documents.where("text is not null").select("doc_id", "text", "media", "source", "url").join(F.broadcast(own), "doc_id")  # at most ``most`` rows
-    rows = few.select("labels", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), "media", "text", "doc_id").orderBy("doc_id").toArrow().to_pylist()
-    return [(r["source"], r["text"].split("\n"), r["labels"], r["media"], r["text"]) for r in rows]
-
-
-def bodies(rows: list[tuple], templates) -> list[tuple[str, list[str], list]]:
-    """The labelled rows with their main bodies."""
-    return [(source, quality.body_lines(lines, templates.removed(lines, pages.line_keys(text), media == "web")), found) for source, lines, found, media, text in rows]
+    few = ready.documents.join(F.broadcast(own), "doc_id")  # at most ``most`` rows
+    rows = few.select("doc_id", F.coalesce(clean_source(F.col("source")), F.lit("")).alias("source"), "labels", "media", "text", "known", "heads").orderBy("doc_id").toArrow().to_pylist()
+    lookup, out = ready.lookup(), []
+    for r in rows:
+        lines = r["text"].split("\n")
+        gone = lookup(r["known"], r["heads"]).removed(lines, pages.line_keys(r["text"]), r["media"] == "web")
+        out.append((r["source"], quality.body_lines(lines, gone), r["labels"]))
+    return out
 
 
 def folds(sources: list[str], n: int) -> np.ndarray:

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K, WINDOW, SPAN = 5, 6, 10
-#: The test items are gathered by the driver and broadcast; more than this many bytes of them is an error.
-ITEM_BYTES = 256 << 20
+#: Characters of test items in one broadcast block.
+ITEM_BYTES = 16 << 20
 
 _WORD = re.compile(r"[^\W_]+").findall
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐­][ \t]*(?:\r\n|\r|\n)(?=[^\W\d_])")
@@ -128,13 +128,26 @@ class ItemIndex:
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """``(doc_id, item_id)`` of every document that holds ``SPAN`` words in a row of an item, or all of a shorter item."""
-    spark = documents.sparkSession
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > ITEM_BYTES:
-        raise ValueError(f"{size} bytes of test items; search them in parts of {ITEM_BYTES}")
-    rows = [(r[0], words(r[1])) for r in items.where("item_id is not null and text is not null").select("item_id", "text").distinct().toLocalIterator()]
-    shared = spark.sparkContext.broadcast(pickle.dumps(ItemIndex(rows)))
+    """``(doc_id, item_id)`` of every document that holds ``SPAN`` words in a row of an item, or all of a shorter item.
+
+    The items' index is broadcast; items beyond ``ITEM_BYTES`` make further blocks, each searched in a pass of its own.
+    """
+    source = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    found: DataFrame | None = None
+    block, size = [], 0
+    for r in items.where("item_id is not null and text is not null").select("item_id", "text").distinct().toLocalIterator():
+        block.append((r[0], words(r[1])))
+        size += len(r[1])
+        if size > ITEM_BYTES:
+            found = _search(source, block) if found is None else found.unionByName(_search(source, block))
+            block, size = [], 0
+    if block or found is None:
+        found = _search(source, block) if found is None else found.unionByName(_search(source, block))
+    return found.distinct()
+
+
+def _search(source: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
+    shared = source.sparkSession.sparkContext.broadcast(pickle.dumps(ItemIndex(items)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = None
@@ -147,5 +160,4 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                 if hits:
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array([x[0] for x in hits], pa.int64()), "item_id": pa.array([x[1] for x in hits], pa.int64())})
 
-    source = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return source.mapInArrow(run, "doc_id bigint, item_id bigint").distinct()
+    return source.mapInArrow(run, "doc_id bigint, item_id bigint")

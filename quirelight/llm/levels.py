@@ -207,12 +207,12 @@ def train(rows: list[tuple[str, list[str], list]]) -> tuple[Features, Levels] |
 
 def levels(documents: DataFrame, labels: DataFrame, most: int = evidence.LABELLED) -> DataFrame:
     """``(doc_id, grade)`` of the English prose documents."""
-    templates = pages.load_templates(documents, quality.MEDIA)
-    model = train(evidence.bodies(evidence.labelled(documents, labels, "grade", most), templates))
+    ready = pages.removal(documents, quality.MEDIA)
+    model = train(evidence.labelled(ready, labels, "grade", most))
     if model is None:
         return documents.sparkSession.createDataFrame([], "doc_id bigint, grade int")
     features, grader = model
-    measured = cut(quality.measure(documents, features, templates))
+    measured = cut(quality.measure(documents, features, ready))
     found = quality.judged(measured, quality.fit(measured)).where("kind = 'prose' and extra is not null").select("doc_id", "extra")
     shared = documents.sparkSession.sparkContext.broadcast(grader)
 

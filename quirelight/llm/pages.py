@@ -18,12 +18,15 @@ Other columns are ignored; empty tables give no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ LEAST_PAGES, LEAST_SHARE = 4, 0.012
 MOST_ELSEWHERE = 0.0012
 #: A heading has links under it if they follow it in this share of its pages.
 LINK_SHARE = 0.5
+#: Bytes of a template hash in a task, for the check against the bound for broadcasts.
+TEMPLATE_BYTES = 64
 #: Counters of a summary.
 COUNTERS = 4096
 
@@ -201,52 +206,91 @@ def find_templates(documents: DataFrame, media: tuple[str, ...] = ("web",)) -> D
     return kept
 
 
-def load_templates(documents: DataFrame, media: tuple[str, ...] = ("web",)) -> Templates:
-    """The templates as sets, checked against the bound for broadcasts."""
+@dataclass
+class Removal:
+    """Documents ``(doc_id, text, media, source, url)`` ready for the removal of template, and how a task gets to know the templates.
+
+    Their hashes are broadcast if their counted number is within the bound. Else each document's own ones are found by a
+    join on the hash and come along in the columns ``known`` and ``heads``, which are null in the first case.
+    """
+
+    documents: DataFrame
+    shared: Broadcast | None
+
+    def lookup(self) -> Callable[[list | None, list | None], Templates]:
+        return partial(_templates_of, self.shared)
+
+
+def _templates_of(shared: Broadcast | None, known: list | None, heads: list | None) -> Templates:
+    return shared.value if shared is not None else Templates(frozenset(known or ()), frozenset(heads or ()))
+
+
+def _all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            keys = [page_keys(t, m == "web") for m, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+            ids = part.column(0).take(pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys])))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([x for k in keys for x in k], pa.int64())], ["doc_id", "key"])
+
+
+def removal(documents: DataFrame, media: tuple[str, ...] = ("web",)) -> Removal:
+    """Find the templates on some host of the given media and make them known to the documents."""
+    source = documents.where("text is not null").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), "media", "source", "url")
     rows = cut(find_templates(documents, media))
-    n = rows.count()
-    if n * 32 > BROADCAST_BYTES:
-        raise ValueError(f"{n} template hashes are too many for a broadcast; treat groups of hosts one after the other")
-    counts = {r[0]: r[1] for r in rows.toLocalIterator()}
-    headings = {k for k, c in counts.items() if counts.get(under(k), 0) >= LINK_SHARE * c}
-    return Templates(frozenset(counts), frozenset(headings))
+    if rows.count() * TEMPLATE_BYTES <= BROADCAST_BYTES:
+        counts = {r[0]: r[1] for r in rows.toLocalIterator()}
+        headings = {k for k, c in counts.items() if counts.get(under(k), 0) >= LINK_SHARE * c}
+        shared = documents.sparkSession.sparkContext.broadcast(Templates(frozenset(counts), frozenset(headings)))
+        empty = F.lit(None).cast("array<bigint>")
+        return Removal(source.withColumns({"known": empty, "heads": empty}), shared)
+
+    @F.pandas_udf("bigint")
+    def links(keys: pd.Series) -> pd.Series:
+        return keys.map(under)
+
+    below = rows.select(F.col("key").alias("below"), F.col("n").alias("m"))
+    rows = rows.withColumn("below", links("key")).join(below, "below", "left").select("key", (F.coalesce("m", F.lit(0)) >= LINK_SHARE * F.col("n")).alias("head"))
+    found = source.select("doc_id", "media", "text").mapInArrow(_all_keys, "doc_id bigint, key bigint").join(cut(rows), "key")
+    own = found.groupBy("doc_id").agg(F.collect_set("key").alias("known"), F.collect_set(F.when(F.col("head"), F.col("key"))).alias("heads"))
+    return Removal(source.join(own, "doc_id", "left"), None)
 
 
 def boilerplate(documents: DataFrame) -> DataFrame:
     """``(doc_id, line_no)``: the non-blank lines of web documents that aren't main body."""
-    templates = load_templates(documents)
-    shared = documents.sparkSession.sparkContext.broadcast(templates)
+    ready = removal(documents)
+    lookup = ready.lookup()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids, numbers = [], []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    own = [n for n, x in enumerate(t.removed(text.split("\n"), line_keys(text))) if x]
+                for doc_id, text, known, heads in zip(*[c.to_pylist() for c in part.columns]):
+                    own = [n for n, x in enumerate(lookup(known, heads).removed(text.split("\n"), line_keys(text))) if x]
                     ids += [doc_id] * len(own)
                     numbers += own
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], ["doc_id", "line_no"])
 
-    web = documents.where("media = 'web' and text is not null").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return web.mapInArrow(run, "doc_id bigint, line_no int")
+    return ready.documents.where("media = 'web'").select("doc_id", "text", "known", "heads").mapInArrow(run, "doc_id bigint, line_no int")
 
 
 def main_bodies(documents: DataFrame) -> DataFrame:
     """``(doc_id, text)``: web documents with their main body only; other documents as they are."""
-    templates = load_templates(documents)
-    shared = documents.sparkSession.sparkContext.broadcast(templates)
+    ready = removal(documents)
+    lookup = ready.lookup()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
         for batch in batches:
-            out = []
-            for media, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if media == "web" and text:
-                    lines = text.split("\n")
-                    text = "\n".join(x for x, gone in zip(lines, t.removed(lines, line_keys(text))) if not gone)
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
-
-    return documents.select(F.col("doc_id").cast("bigint"), "media", F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, text string")
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                out = []
+                for media, text, known, heads in zip(*[c.to_pylist() for c in part.columns[1:]]):
+                    if media == "web":
+                        lines = text.split("\n")
+                        text = "\n".join(x for x, gone in zip(lines, lookup(known, heads).removed(lines, line_keys(text))) if not gone)
+                    out.append(text)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
+
+    bodies = ready.documents.select("doc_id", "media", "text", "known", "heads").mapInArrow(run, "doc_id bigint, text string")
+    return bodies.unionByName(documents.where("text is null").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelight.common import cut
+from quirelight.common import clean_source, cut
 from quirelight.llm import pages
 
 #: Words that hold sentences together, in the corpus' languages (fixed values).
@@ -237,30 +237,31 @@ def _gather(rows: DataFrame, f, k: int, d: int) -> np.ndarray:
     return total
 
 
-def measure(documents: DataFrame, extra=None, templates: pages.Templates | None = None, keep_source: bool = False) -> DataFrame:
+def measure(documents: DataFrame, extra=None, ready: pages.Removal | None = None, keep_source: bool = False) -> DataFrame:
     """``(doc_id, figures)`` of every document with a text, and with ``extra`` a column of what it makes of a list of main bodies."""
-    templates = templates or pages.load_templates(documents, MEDIA)
-    shared = documents.sparkSession.sparkContext.broadcast((templates, extra))
+    ready = ready or pages.removal(documents, MEDIA)
+    lookup = ready.lookup()
+    shared = documents.sparkSession.sparkContext.broadcast(extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, more = shared.value
+        more = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 bodies = []
-                for media, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                for media, text, known, heads in zip(*[c.to_pylist() for c in part.columns[2:]]):
                     lines = text.split("\n")
-                    bodies.append(body_lines(lines, t.removed(lines, pages.line_keys(text), media == "web")))
+                    bodies.append(body_lines(lines, lookup(known, heads).removed(lines, pages.line_keys(text), media == "web")))
                 columns = [part.column(0), pa.array(figures(bodies), pa.list_(pa.float64()))]
                 if more:
                     columns.append(pa.array(more(bodies), pa.list_(pa.float64())))
                 if keep_source:
-                    columns.append(part.column(3))
+                    columns.append(part.column(1))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["doc_id", "figures"] + ["extra"] * bool(extra) + ["source"] * keep_source
     kinds = {"doc_id": "bigint", "figures": "array<double>", "extra": "array<double>", "source": "string"}
-    source = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "media", F.col("text").cast("string"), F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"))
+    source = ready.documents.select("doc_id", F.coalesce(clean_source(F.col("source")), F.lit("")).alias("source"), "media", "text", "known", "heads")
     return source.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 

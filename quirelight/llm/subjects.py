@@ -128,12 +128,12 @@ def train(rows: list[tuple[str, list[str], list]], names: list[str]) -> tuple[Fe
 def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, most: int = evidence.LABELLED) -> DataFrame:
     """``(doc_id, subject)`` of the English prose documents."""
     names = sorted({r[0] for r in areas.where("subject is not null").select("subject").distinct().collect()})  # the areas are a fixed, short list
-    templates = pages.load_templates(documents, quality.MEDIA)
-    model = train(evidence.bodies(evidence.labelled(documents, labels, "subject", most), templates), names)
+    ready = pages.removal(documents, quality.MEDIA)
+    model = train(evidence.labelled(ready, labels, "subject", most), names)
     if model is None:
         return documents.sparkSession.createDataFrame([], "doc_id bigint, subject string")
     features, chain = model
-    measured = cut(quality.measure(documents, features, templates, keep_source=True))
+    measured = cut(quality.measure(documents, features, ready, keep_source=True))
     found = quality.judged(measured, quality.fit(measured)).where("kind = 'prose' and extra is not null").select("doc_id", "source", "extra")
     shared = documents.sparkSession.sparkContext.broadcast(chain)
 

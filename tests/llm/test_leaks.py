@@ -67,7 +67,9 @@ def test_empty(spark):
     assert leaks.leaks(docs.union(docs), items.union(items)).count() == 1
 
 
-def test_bound(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "ITEM_BYTES", 2)
-    with pytest.raises(ValueError, match="test items"):
-        leaks.leaks(spark.createDataFrame([(1, "a")], DOCS), spark.createDataFrame([(1, "a b c")], ITEMS))
+def test_blocks(spark, monkeypatch):
+    """Items beyond the bound are searched in further blocks."""
+    monkeypatch.setattr(leaks, "ITEM_BYTES", 4)
+    docs = spark.createDataFrame([(1, "x a b c y d e"), (2, "f g")], DOCS)
+    items = spark.createDataFrame([(1, "a b c"), (2, "d e"), (3, "f g"), (4, "q")], ITEMS)
+    assert {tuple(r) for r in leaks.leaks(docs, items).collect()} == {(1, 1), (1, 2), (2, 3)}

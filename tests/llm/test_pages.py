@@ -47,6 +47,15 @@ def test_boilerplate(spark, site):
     assert bodies[1] == "\n".join(x for n, x in enumerate(text) if (1, n) not in wanted)
 
 
+def test_templates_beyond_the_bound(spark, site, monkeypatch):
+    """Where the hashes are too many for a broadcast, documents get their own by a join."""
+    monkeypatch.setattr(pages, "TEMPLATE_BYTES", 1 << 30)
+    rows, wanted = site
+    docs = spark.createDataFrame(rows, KIND)
+    assert pages.removal(docs).shared is None
+    assert {tuple(r) for r in pages.boilerplate(docs).collect()} == wanted
+
+
 def test_copies(spark, site):
     """Many copies of an article on its site are no template."""
     rows, wanted = site
