@@ -434,12 +434,12 @@ def recovered_words(spark, d):
 
 # HTML: pages are made of the documents' lines, so that their texts must come out again
 
-_ESCAPED = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 _NO_RETURN = "media = 'web' and text is not null and not contains(text, '\\r') and not contains(text, '\\0')"
 
 
 def _pages(spark, d):
-    body = F.concat(F.lit('<html><head><title>t</title><script>var a = "<b>";</script></head><body><a rel="bookmark" href="/'), F.col("doc_id").cast("string"), F.lit('"></a><div class="post">'), _ESCAPED, F.lit("</div></body></html>"))
+    escaped = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    body = F.concat(F.lit('<html><head><title>t</title><script>var a = "<b>";</script></head><body><a rel="bookmark" href="/'), F.col("doc_id").cast("string"), F.lit('"></a><div class="post">'), escaped, F.lit("</div></body></html>"))
     return table(spark, d, "documents").where(_NO_RETURN).select("doc_id", body.alias("html"))
 
 

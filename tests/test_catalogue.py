@@ -2,6 +2,8 @@
 
 import glob
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -33,6 +35,14 @@ def test_query(name, spark, data, duck):
         assert found.num_rows > 0
 
 
+def test_import_without_session():
+    """The driver reads the names before there is a session, also where the subpackage for training data is gone."""
+    code = "import sys{}; import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    counts = [int(subprocess.run([sys.executable, "-c", code.format(x)], cwd=root, capture_output=True, text=True, check=True).stdout) for x in ("", "; sys.modules['quirelight.llm'] = None")]
+    assert counts[1] == len(catalogue.QUERIES)
+
+
 def test_entry(spark, data):
     import __spark_entry__ as entry
 
