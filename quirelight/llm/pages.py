@@ -194,6 +194,7 @@ def find_templates(documents: DataFrame, media: tuple[str, ...] = ("web",)) -> D
     # one row for each kind of media
     docs = {r[0]: r[1] for r in counts.where("key = 0").groupBy("media").agg(F.sum("n")).collect()}
     hosts = counts.where("key = 0").select("host", F.col("n").alias("host_docs"))
+    hosts = bounded_broadcast(hosts, hosts.count(), 80)
     enough = (F.col("n") >= LEAST_PAGES) & (F.col("n") >= F.col("host_docs") * LEAST_SHARE)
     recurring = counts.where((F.col("key") != 0) & F.col("media").isin(*media)).join(hosts, "host").where(enough)
     recurring = recurring.groupBy("key").agg(*[F.sum(F.when(F.col("media") == m, F.col("n"))).alias(f"on_{m}") for m in media])

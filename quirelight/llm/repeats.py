@@ -1,10 +1,11 @@
 """Problem 2: lines repeated across one source's documents.
 
 Method: each task keeps a mergeable heavy-hitter summary per source (frequent items with the surplus counter
-subtracted), the summaries of a source are merged, the surviving candidates are counted exactly in a second pass over
-all lines, and the confirmed lines are removed by a join whose small side is broadcast if its counted size allows.
-A summary of k counters underestimates by at most N / (k + 1) for N lines, and k is set per source so that this stays
-below the number of documents a repeated line needs: no repeated line can be missed.
+subtracted), the summaries' counts are added up by line, the surviving candidates are counted exactly in a second pass
+over all lines, and the confirmed lines are removed by a join whose small side is broadcast if its counted size allows.
+Summaries of k counters underestimate by at most N / (k + 1) for N lines, and k is set per source so that this is
+half the number of documents a repeated line needs at most: no repeated line can be missed. No group is gathered in one
+task, also not for a source that holds most documents.
 
 Two lines are the same if their letters are, leaving out case and the names of months and weekdays standing as words.
 Defined results: rows with null source and null, empty or blank texts take no part; lines without a letter are never
@@ -16,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,12 +81,6 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"source": [source] * len(h.items), "k": pa.array([h.k] * len(h.items), pa.int64()), "key": pa.array(h.items), "n": pa.array(h.counts)})
 
 
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    h = HeavyHitters(int(rows["k"].iloc[0]))
-    h.add(rows["key"].to_numpy(), rows["n"].to_numpy())
-    return pd.DataFrame({"source": rows["source"].iloc[0], "key": h.items})
-
-
 def keyed_lines(documents: DataFrame) -> DataFrame:
     """``(doc_id, source, keys)``: of each document that takes part the key of every line."""
     text = F.col("text")
@@ -102,12 +96,14 @@ def repeated_keys(keyed: DataFrame, least_docs: int = LEAST_DOCS, least_share: f
     own = F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))
     rows = keyed.select("source", own.alias("own"))
     need = F.greatest(F.lit(least_docs).cast("bigint"), F.ceil(F.col("docs") * least_share - 1e-9))
-    # N lines and a need of T documents: N // T + 1 counters keep every line that reaches T
+    # N lines and a need of T documents: with 2 N / T counters the summaries together lack at most T / 2 of a line's documents,
+    # so the lines whose counts reach T / 2 are all that may be repeated, and no more than 2 N / T of them are
     sources = rows.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.size("own")).cast("bigint").alias("lines"))
-    sources = cut(sources.select("source", need.alias("need"), (F.floor(F.col("lines") / need) + 1).cast("bigint").alias("k")))
+    sources = cut(sources.select("source", need.alias("need"), (F.floor(2 * F.col("lines") / need) + 1).cast("bigint").alias("k")))
     small = bounded_broadcast(sources, sources.count(), 80)
     summaries = rows.join(small, "source").select("source", "k", "own").mapInArrow(_summaries, "source string, k bigint, key bigint, n bigint")
-    candidates = cut(summaries.groupBy("source").applyInPandas(_merge, "source string, key bigint"))
+    merged = summaries.groupBy("source", "key").agg(F.sum("n").alias("n")).join(small, "source")
+    candidates = cut(merged.where("2 * n >= need").select("source", "key"))
     candidates_small = bounded_broadcast(candidates, candidates.count(), 80)
     counts = rows.select("source", F.explode("own").alias("key")).join(candidates_small, ["source", "key"]).groupBy("source", "key").agg(F.count("*").alias("n"))
     return counts.join(small, "source").where("n >= need").select("source", "key")
