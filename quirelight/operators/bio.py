@@ -21,9 +21,12 @@ def _up_to(offset: int) -> WindowSpec:
 
 
 def latest_tokens(tokens: DataFrame) -> DataFrame:
-    """One row for each (``sample_id``, ``i``): the one that arrived last; of equal times the largest (tok, tag)."""
+    """One row for each (``sample_id``, ``i``): the one that arrived last; of equal times the largest (tok, tag).
+
+    Rows are spread by sample alone: tokens seldom repeat, so nothing is lost before the exchange, and what follows within samples needs no other.
+    """
     rank = F.struct(F.coalesce(F.col("arrived_at"), F.lit("0001-01-01").cast("timestamp")), F.col("tok"), F.col("tag"))
-    return tokens.groupBy("sample_id", "i").agg(F.max(F.struct(rank.alias("rank"), "tok", "tag")).alias("r")).select("sample_id", "i", "r.tok", "r.tag")
+    return tokens.repartition("sample_id").groupBy("sample_id", "i").agg(F.max(F.struct(rank.alias("rank"), "tok", "tag")).alias("r")).select("sample_id", "i", "r.tok", "r.tag")
 
 
 def letter(tag: Column) -> Column:

@@ -34,9 +34,9 @@ def attribute_names(classes: Column) -> Column:
 
 
 def distinct_boxes(boxes: DataFrame) -> DataFrame:
-    """One row for each (``doc_id``, ``box_index``): the one with the most known of text and x, then the largest."""
+    """One row for each (``doc_id``, ``box_index``): the one with the most known of text and x, then the largest. Spread by document, as all that follows."""
     rank = F.struct((F.col("text").isNotNull().cast("int") + F.col("x").isNotNull().cast("int")).alias("known"), "page_number", "text", "x", "y", "tag_attributes", "line_height", "font_size", "height")
-    best = boxes.groupBy("doc_id", "box_index").agg(F.max(rank).alias("b"))
+    best = boxes.repartition("doc_id").groupBy("doc_id", "box_index").agg(F.max(rank).alias("b"))
     return best.select("doc_id", "box_index", *[f"b.{c}" for c in ("page_number", "text", "tag_attributes", "line_height", "font_size", "height", "x", "y")])
 
 

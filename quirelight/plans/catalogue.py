@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quirelight.common import shared_dir, table
 from quirelight.functions import html, nested, text
-from quirelight.operators import bio, embed, layout, match, prose, sequences, topics, tuning, words
+from quirelight.operators import bio, convert, embed, layout, match, prose, sequences, topics, tuning, words
 from quirelight.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,6 +268,14 @@ def tags_from_spans(spark, d):
     return bio.tags_from_spans(_latest(spark, d), table(spark, d, "editable_spans"))
 
 
+@query(f"WITH {_LATEST} SELECT sample_id, i, tok, tag FROM t")
+def zipped_tags(spark, d):
+    """Tokens and tags gathered apart and put together again by position."""
+    rows = F.array_sort(F.collect_list(F.struct("i", "tok", "tag")))
+    apart = _latest(spark, d).groupBy("sample_id").agg(rows.alias("r")).select("sample_id", "r.i", convert.zip_tags(F.col("r.tok"), F.col("r.tag")).alias("z"))
+    return apart.select("sample_id", F.explode(F.arrays_zip("i", "z")).alias("p")).select("sample_id", "p.i", "p.z.tok", "p.z.tag")
+
+
 # Matching
 
 
@@ -339,6 +347,16 @@ def css_lookup(spark, d):
     return layout.css_lookup(_boxes(spark, d), table(spark, d, "css"))
 
 
+@query(f"SELECT doc_id, box_index, \"left\" AS x, bottom AS y, height FROM ({_CSS})")
+def box_geometry(spark, d):
+    return convert.set_geometry(_boxes(spark, d), table(spark, d, "css")).select("doc_id", "box_index", "x", "y", "height")
+
+
+@query(f"WITH {_BOXES} SELECT doc_id, box_index, tag_attributes[4] AS header FROM b")
+def header_ids(spark, d):
+    return _boxes(spark, d).select("doc_id", "box_index", convert.header_id(F.col("tag_attributes")).alias("header"))
+
+
 _POINTS = f"""{_BOXES}, z AS (SELECT doc_id, page_number, box_index, text, coalesce(x, 0.0) AS x, coalesce(y, 0.0) AS y FROM b),
 pt AS (SELECT *, x / (greatest(max(x) OVER p, 700.0::DOUBLE) - least(min(x) OVER p, 0.0::DOUBLE)) AS nx, y / (greatest(max(y) OVER p, sqrt(2.0::DOUBLE) * 700) - least(min(y) OVER p, 0.0::DOUBLE)) AS ny FROM z WINDOW p AS (PARTITION BY doc_id, page_number))"""
 
@@ -613,6 +631,19 @@ def topic_headwords(spark, d):
     return topics.headword_documents(best, topics.headwords(texts, "topic")).select("topic", "headword", F.size("docs").alias("n_docs"))
 
 
+@query(f"""WITH {_BEST} SELECT '{{"topic":"' || topic || '","docs":[' || string_agg('"' || doc || '"', ',' ORDER BY doc) || ']}}' AS json FROM bt GROUP BY topic""")
+def topics_json(spark, d):
+    rows = topics.topic_documents(topics.best_topic(table(spark, d, "topic_weights")))
+    return rows.select(F.to_json(F.struct("topic", "docs")).alias("json"))
+
+
+@query(f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest({_TOKENS}) AS word FROM documents) WHERE lower(word) IN (SELECT DISTINCT lower(subject) FROM subject_areas) GROUP BY doc_id")
+def real_words(spark, d):
+    """Words of each document that a list has; here the list of subjects."""
+    known = table(spark, d, "subject_areas").select(F.col("subject").alias("word"))
+    return convert.real_words(words.index_document(table(spark, d, "documents")), known).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 @query()
 def lda_topics(spark, d):
     return topics.lda_topics(table(spark, d, "documents"), iterations=10)

