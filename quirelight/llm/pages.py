@@ -52,6 +52,8 @@ _OTHER = re.compile(r"[^\w\n]+|[\d_]+")
 _DROP = bytes(x for x in range(128) if not (chr(x).isalpha() or x == 10))
 _LABEL = re.compile(r"\s*([^\W_]+)((?:[ \xa0]+[^\s:>/»|]{1,24}){0,7}?)[ \xa0]*(:|>|/|»|\||-)[ \xa0]")
 _NO_TITLE = re.compile(r"\d| [/>»|] ")
+#: A label ends within so many characters of a line.
+LABEL_CHARS = 100
 _END = (".", "!", "?", ":", ";", ",", "{", "}", ")")
 _hash = xxhash.xxh64_intdigest
 _SIGNED = 1 << 63
@@ -73,14 +75,20 @@ def line_keys(text: str) -> list[int]:
         low = "\n".join([_lasting(x) if _CHANGING.search(x) else x for x in low.split("\n")])
     if low.isascii():
         return [_signed(_hash(x)) if x else 0 for x in low.encode().translate(None, _DROP).split(b"\n")]
-    return [_signed(_hash(x)) if x else 0 for x in _OTHER.sub("", low).split("\n")]
+    lines = low.split("\n")
+    odd = [n for n, x in enumerate(lines) if not x.isascii()]
+    letters = "\n".join([x if x.isascii() else "" for x in lines]).encode().translate(None, _DROP).split(b"\n")
+    for n in odd:
+        letters[n] = _OTHER.sub("", lines[n]).encode("utf-8", "surrogatepass")
+    return [_signed(_hash(x)) if x else 0 for x in letters]
 
 
 def label_keys(line: str) -> list[int]:
     """Hashes of the label a line begins with: whole, and without its first word."""
-    if not (": " in line or "- " in line or "> " in line or "/ " in line or "» " in line or "| " in line or "\xa0" in line):
+    head = line[:LABEL_CHARS]
+    if not (": " in head or "- " in head or "> " in head or "/ " in head or "» " in head or "| " in head or "\xa0" in head):
         return []
-    m = _LABEL.match(line)
+    m = _LABEL.match(head)
     if not m:
         return []
     first, more, sign = m.group(1).lower(), _OTHER.sub("", _lasting(m.group(2).lower())), m.group(3)
