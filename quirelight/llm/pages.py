@@ -180,7 +180,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for host, h in held.items():
         h.add(np.array(waiting[host], np.int64))
         keys, counts = np.append(h.items, 0), np.append(h.counts, docs[host])  # key 0 counts the documents
-        yield pa.RecordBatch.from_pydict({"host": [host] * len(keys), "key": pa.array(keys), "n": pa.array(counts)})
+        yield pa.RecordBatch.from_pydict({"host": pa.array([host] * len(keys), pa.string()), "key": pa.array(keys), "n": pa.array(counts)})
 
 
 def subtree_counts(documents: DataFrame) -> DataFrame:

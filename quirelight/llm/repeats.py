@@ -78,7 +78,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for source, h in held.items():
         if waiting[source]:
             h.add(np.concatenate(waiting[source]))
-        yield pa.RecordBatch.from_pydict({"source": [source] * len(h.items), "k": pa.array([h.k] * len(h.items), pa.int64()), "key": pa.array(h.items), "n": pa.array(h.counts)})
+        yield pa.RecordBatch.from_pydict({"source": pa.array([source] * len(h.items), pa.string()), "k": pa.array([h.k] * len(h.items), pa.int64()), "key": pa.array(h.items), "n": pa.array(h.counts)})
 
 
 def keyed_lines(documents: DataFrame) -> DataFrame:

@@ -78,6 +78,8 @@ def test_clean(spark):
 
 
 def test_odd(spark):
+    few = [(i, f"s{i}", "only line") for i in range(9)] + [(20, "numbers", "1 2\n3"), (21, "numbers", "4")]  # summaries without a line
+    assert repeats.repeated_lines(spark.createDataFrame(few, KIND)).count() == 0
     assert repeats.repeated_lines(spark.createDataFrame([], KIND)).count() == 0
     long = [(i, "s", "word " * 50_000 + "\nfoot") for i in range(4)]
     assert repeats.repeated_lines(spark.createDataFrame(long, KIND)).count() == 8
