@@ -37,9 +37,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    local = path.removeprefix("file://")
-    if path.startswith("file://") or "://" not in path:
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)  # of whatever file system; when the driver's JVM ends
     return spark.read.schema(df.schema).parquet(path)
 
 
