@@ -26,16 +26,22 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def _dropped() -> str:
+    """Delimiters at a word's start, or behind themselves or one that is split off earlier: what was written, not what is left, decides."""
+    every = f"[{_class(''.join(DELIMITERS))}]"
+    behind = [f"(?<=[ {_class(''.join(DELIMITERS[: n + 1]))}]{re.escape(d)})" for n, d in enumerate(DELIMITERS)]
+    return f"{every}(?:(?<=\\A{every})|{'|'.join(behind)})"
+
+
 def tokens(text: Column) -> Column:
     """Words and the delimiters behind them, as an array; empty for an empty text.
 
-    A delimiter is a token if something stands before it in its word: at a word's start it is dropped, and of a run one is kept.
+    A delimiter is a token if something stands before it in its word: at a word's start it is dropped, and of a run one is
+    kept. Three passes over the text: drop, mark, split with the white space around the marks.
     """
-    out = F.translate(text, " ", MARK)
-    for d in DELIMITERS:
-        e = re.escape(d)
-        out = F.regexp_replace(F.regexp_replace(out, f"(^|{MARK}){e}+", "$1"), f"{e}+", f"{MARK}{d}{MARK}")
-    return F.filter(F.transform(F.split(out, MARK), strip), lambda t: t != "")
+    kept = F.regexp_replace(text, _dropped(), "")
+    marked = F.regexp_replace(F.translate(strip(kept), " ", MARK), f"([{_class(''.join(DELIMITERS))}])", f"{MARK}$1{MARK}")
+    return F.filter(F.split(marked, rf"(?:\s+)?{MARK}[\s{MARK}]*"), lambda t: t != "")
 
 
 def inner_strip(text: Column) -> Column:
