@@ -7,8 +7,8 @@ the kind of its children). The hashes are counted per host in Spark, over all pa
 on enough pages of a host and is next to unknown to documents of the other media, which have headings too but
 no site around them. Template lines are removed, and after the heading of a list of links the links.
 
-Counting goes through mergeable summaries that each task keeps per host (see ``repeats``); their counts lack at most one
-document per ``COUNTERS`` distinct hashes that a host has in a task.
+Counts are exact: summaries per host only give the candidates, which are then counted over all pages (see ``repeats``),
+and those that recur on a host are counted over all documents.
 
 Defined results: null, empty and blank texts have no lines; without a source the host stands in the address; pages
 without either are judged by the templates of all hosts, as all pages are, since texts get copied from site to site.
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelight.common import BROADCAST_BYTES, bounded_broadcast, clean_source, cut
-from quirelight.llm.repeats import HeavyHitters
+from quirelight.llm.repeats import repeated_keys
 
 #: A subtree is template from so many pages and such a share of a host's pages on.
 LEAST_PAGES, LEAST_SHARE = 4, 0.012
@@ -41,8 +41,6 @@ MOST_ELSEWHERE = 0.0012
 LINK_SHARE = 0.5
 #: Bytes of a template hash in a task, for the check against the bound for broadcasts.
 TEMPLATE_BYTES = 64
-#: Counters of a summary.
-COUNTERS = 4096
 
 #: Beginnings of the names of months and weekdays; in lines with digits words that begin so don't count (fixed values).
 _CALENDAR = frozenset("jan feb mar apr may jun jul aug sep oct nov dec mon tue wed thu fri sat sun".split())
@@ -160,31 +158,16 @@ def host_of(documents: DataFrame) -> Column:
     return F.concat_ws(" ", F.coalesce("media", F.lit("")), host)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, HeavyHitters] = {}
-    waiting: dict[str, list[int]] = {}
-    docs: dict[str, int] = {}
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            for host, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                if text.isspace() or not text:
-                    continue
-                if host not in held:
-                    held[host], waiting[host], docs[host] = HeavyHitters(COUNTERS), [], 0
-                docs[host] += 1
-                waiting[host].extend(page_keys(text, host.startswith("web ")))
-                if len(waiting[host]) > 100_000:
-                    held[host].add(np.array(waiting[host], np.int64))
-                    waiting[host] = []
-    for host, h in held.items():
-        h.add(np.array(waiting[host], np.int64))
-        keys, counts = np.append(h.items, 0), np.append(h.counts, docs[host])  # key 0 counts the documents
-        yield pa.RecordBatch.from_pydict({"host": pa.array([host] * len(keys), pa.string()), "key": pa.array(keys), "n": pa.array(counts)})
-
-
-def subtree_counts(documents: DataFrame) -> DataFrame:
-    """``(host, key, n)``: documents of each host that have a subtree; key 0 has the host's documents.
+            rows = [(h, list(page_keys(t, h.startswith("web ")))) for h, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if t and not t.isspace()]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.list_(pa.int64()))], ["source", "keys"])
+
+
+def subtree_keys(documents: DataFrame) -> DataFrame:
+    """``(source, keys, media)``: of each document with a text its host and the hashes of its subtrees.
 
     Of equal texts on a host only one counts, else much-copied articles would be template. Groups of copies, not their
     rows, are looked up, so a hot group is one row.
@@ -192,27 +175,25 @@ def subtree_counts(documents: DataFrame) -> DataFrame:
     texts = documents.where("text is not null").select(host_of(documents).alias("host"), F.col("text").cast("string"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("bigint").alias("id"), F.xxhash64("text").alias("h"))
     copied = cut(texts.groupBy("host", "h").agg(F.min("id").alias("kept"), F.count("*").alias("copies")).where("copies > 1").select("host", "h", "kept"))
     texts = texts.join(bounded_broadcast(copied, copied.count(), 80), ["host", "h"], "left").where("kept is null or kept = id").select("host", "text")
-    counted = texts.mapInArrow(_count, "host string, key bigint, n bigint").groupBy("host", "key").agg(F.sum("n").alias("n"))
-    return counted.withColumn("media", F.split("host", " ")[0])
+    return texts.mapInArrow(_keyed, "source string, keys array<bigint>").withColumn("media", F.split("source", " ")[0])
 
 
 def find_templates(documents: DataFrame, media: tuple[str, ...] = ("web",)) -> DataFrame:
     """``(key, n)`` of the subtrees that are template on some host of the given media, and the documents that have them."""
-    counts = cut(subtree_counts(documents))
+    keyed = cut(subtree_keys(documents))
     # one row for each kind of media
-    docs = {r[0]: r[1] for r in counts.where("key = 0").groupBy("media").agg(F.sum("n")).collect()}
-    hosts = counts.where("key = 0").select("host", F.col("n").alias("host_docs"))
-    hosts = bounded_broadcast(hosts, hosts.count(), 80)
-    enough = (F.col("n") >= LEAST_PAGES) & (F.col("n") >= F.col("host_docs") * LEAST_SHARE)
-    recurring = counts.where((F.col("key") != 0) & F.col("media").isin(*media)).join(hosts, "host").where(enough)
-    recurring = recurring.groupBy("key").agg(*[F.sum(F.when(F.col("media") == m, F.col("n"))).alias(f"on_{m}") for m in media])
-    every = counts.where("key <> 0").groupBy("key").agg(F.sum("n").alias("n"), *[F.coalesce(F.sum(F.when(F.col("media") == m, F.col("n"))), F.lit(0)).alias(f"all_{m}") for m in media])
+    docs = {r[0]: r[1] for r in keyed.groupBy("media").agg(F.count("*")).collect()}
+    recurring = repeated_keys(keyed.where(F.col("media").isin(*media)), LEAST_PAGES, LEAST_SHARE)
+    of = F.split("source", " ")[0]
+    recurring = cut(recurring.groupBy("key").agg(*[F.max(of == m).alias(f"on_{m}") for m in media]))
+    small = bounded_broadcast(recurring, recurring.count())
+    every = keyed.select("media", F.explode("keys").alias("key")).join(small, "key").groupBy("key")
+    every = every.agg(F.count("*").alias("n"), *[F.first(f"on_{m}").alias(f"on_{m}") for m in media], *[F.count(F.when(F.col("media") == m, 1)).alias(f"all_{m}") for m in media])
     total = sum(docs.values())
     rare = F.lit(False)
     for m in media:
-        rare = rare | F.col(f"on_{m}").isNotNull() & (F.col("n") - F.col(f"all_{m}") <= MOST_ELSEWHERE * (total - docs.get(m, 0)))
-    kept = recurring.join(every, "key").where(rare).select("key", "n")
-    return kept
+        rare = rare | F.col(f"on_{m}") & (F.col("n") - F.col(f"all_{m}") <= MOST_ELSEWHERE * (total - docs.get(m, 0)))
+    return every.where(rare).select("key", "n")
 
 
 @dataclass

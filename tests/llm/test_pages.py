@@ -64,6 +64,22 @@ def test_copies(spark, site):
     assert found == wanted | {(2000 + k, n) for k in range(60) for i, n in wanted if i == 7}
 
 
+def test_counts_are_exact(spark):
+    """Hosts with many different lines lose no document from the counts on either side of the thresholds."""
+    rng = random.Random(3)
+    own = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(14)) for _ in range(n)]
+    rows = []
+    for i in range(300):  # 4 pages are needed
+        lines = own(20) + (["on four pages"] if i < 4 else []) + (["on three pages"] if i < 3 else []) + (["also in two papers"] if i % 2 else [])
+        rows.append((i, "\n".join(lines), "one.example", "web", None))
+    for i in range(1000):  # 1 paper may have it
+        rows.append((1000 + i, "\n".join(own(6) + (["also in two papers"] if i < 2 else [])), "papers", "pdf", None))
+    wanted = [pages.line_keys("on four pages")[0]]
+    for parts in (1, 5):
+        found = {r.key: r.n for r in pages.find_templates(spark.createDataFrame(rows, KIND).repartition(parts, "doc_id")).collect()}
+        assert found == {wanted[0]: 4}
+
+
 def test_keys():
     keys = pages.line_keys('Share 12 Tweet 3\nSHARE  7 - tweet!\n12 34\nvar a1 = b2("x");\n  var c3 = d44("yy");')
     assert keys[0] == keys[1] != 0 and keys[2] == 0 and keys[3] == keys[4] != 0
