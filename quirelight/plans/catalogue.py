@@ -428,6 +428,47 @@ def layout_score(spark, d):
     return layout.layout_score(_column_text(spark, d), columns, 2)
 
 
+# The same by the columns that the density finds, which have no equal in SQL
+
+
+def _found_columns(spark, d):
+    return layout.document_columns(layout.density(layout.points(_boxes(spark, d))))
+
+
+def _found_labels(spark, d):
+    return layout.column_labels(layout.points(_boxes(spark, d)).join(_found_columns(spark, d), "doc_id"), F.col("columns"))
+
+
+@query()
+def found_column_labels(spark, d):
+    return _found_labels(spark, d).select("doc_id", "box_index", "columns", "column_label")
+
+
+@query()
+def found_line_distances(spark, d):
+    return layout.line_distances(_found_labels(spark, d)).select("doc_id", "box_index", F.round("before", 4).alias("before"), F.round("behind", 4).alias("behind"))
+
+
+@query()
+def found_body_mask(spark, d):
+    return layout.body_mask(layout.line_distances(_found_labels(spark, d))).select("doc_id", "box_index", "in_body")
+
+
+@query()
+def found_reading_order(spark, d):
+    return layout.reading_order(_found_labels(spark, d)).select("doc_id", "box_index", "reading_sequence")
+
+
+@query()
+def found_column_text(spark, d):
+    return layout.column_text(layout.reading_order(_found_labels(spark, d)))
+
+
+@query()
+def found_layout_score(spark, d):
+    return layout.layout_score(found_column_text(spark, d), _found_columns(spark, d), 2)
+
+
 @query()
 def density(spark, d):
     found = layout.density(layout.points(_boxes(spark, d)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirelight.exceptions import ConversionError
 from quirelight.functions import html
 from quirelight.operators import convert, embed, layout, match, prose, sequences, topics, tuning, words
+from quirelight.plans import catalogue
 from quirelight.plans.registry import Registry
 from quirelight.sources import files, sinks
 from quirelight.streaming import incremental
@@ -41,6 +42,35 @@ def test_columns_and_order(spark, columns):
     assert layout.density(placed.limit(0)).count() == 0
 
 
+def test_found_columns(spark, tmp_path):
+    """The queries by found columns against the columns that pages were made of."""
+    rows, places = [], {1: [60.0], 2: [60.0, 360.0], 3: [60.0, 260.0, 460.0]}
+    wanted, texts = {}, {}
+    for doc, xs in places.items():
+        for page in range(2):
+            for k in range(60):
+                for c, x in enumerate(xs):
+                    n = (page * 60 + k) * len(xs) + c
+                    rows.append((doc, n, page, f"text column {c + 1}", ["x1"], 1.0, 1.0, 1.0, x, 900.0 - 12.0 * k))
+                    wanted[doc, n] = (c, (page * len(xs) + c) * 60 + k)
+                    texts[doc, page, c] = " ".join([f"text column {c + 1}"] * 60)
+    kind = "doc_id bigint, box_index int, page_number int, text string, tag_attributes array<string>, line_height double, font_size double, height double, x double, y double"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/boxes.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    labels = {(r.doc_id, r.box_index): (r.columns, r.column_label) for r in run("found_column_labels")}
+    order = {(r.doc_id, r.box_index): r.reading_sequence for r in run("found_reading_order")}
+    assert {k: v[0] for k, v in labels.items()} == {k: len(places[k[0]]) for k in wanted}
+    assert order == {k: v[1] for k, v in wanted.items()}
+    for doc in places:
+        assert len({(v[1], wanted[k][0]) for k, v in labels.items() if k[0] == doc}) == doc
+    assert {(r.doc_id, r.page_number, r.column_no): r.column_text for r in run("found_column_text")} == texts
+    assert [(r.doc_id, r.box_index) for r in run("found_body_mask") if not r.in_body] == []
+    spaced = {(r.doc_id, r.box_index): (r.before, r.behind) for r in run("found_line_distances")}
+    assert all(spaced[k] == (12.0, 12.0) for k, (c, seq) in wanted.items() if 0 < seq % 60 < 59)
+    # a column has its words (1) and its number 60 times and no other (180 - 3); a page as many columns as found (10) and, with two, as expected (10)
+    assert {r.doc_id: r.score for r in run("found_layout_score")} == {d: 2 * (178 * d + 10 + (10 if d == 2 else 0)) for d in places}
+
+
 def test_ranges(spark):
     row = spark.range(1).select(tuning.parameter_range(F.lit(10.0), F.lit(70.0)), tuning.fractal_range(F.lit(40.0), F.array(F.lit(10.0), F.lit(40.0), F.lit(70.0))), layout.evaluation_range(F.lit(10.0))).first()
     assert row[0] == [10.0, 30.0, 50.0, 70.0] and row[1] == [20.0, 40.0, 60.0]
