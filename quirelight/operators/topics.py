@@ -67,8 +67,11 @@ def topic_texts(best: DataFrame, documents: DataFrame, path: Column) -> DataFram
     return documents.select(path.alias("doc"), topic_clean(F.col("text")).alias("text")).join(best, "doc").select("topic", "doc", "text")
 
 
-def lda_topics(documents: DataFrame, k: int = 8, iterations: int = 50, drop_most_frequent: int = 100, vocabulary: int = 20_000, seed: int = 42) -> DataFrame:
-    """``(doc_id, topic)`` by latent Dirichlet allocation, without the most frequent words; every document has one topic, also an empty one."""
+def lda_topics(documents: DataFrame, k: int = 8, iterations: int = 50, drop_most_frequent: int = 100, min_docs: int = 2, seed: int = 42) -> DataFrame:
+    """``(doc_id, topic)`` by latent Dirichlet allocation, without the most frequent words; every document has one topic, also an empty one.
+
+    The vocabulary is all words of at least ``min_docs`` documents. Each iteration goes over all documents.
+    """
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
@@ -79,9 +82,10 @@ def lda_topics(documents: DataFrame, k: int = 8, iterations: int = 50, drop_most
     common = counted.orderBy(F.desc("n"), "word").limit(drop_most_frequent).agg(F.collect_list("word").alias("common"))  # a top-k of fixed size
     common = common.first()[0] or [""]
     rows = rows.withColumn("words", F.filter("words", lambda w: ~F.array_contains(F.array(*map(F.lit, common)), w)))
-    model = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary, minDF=2).fit(rows)
+    known = rows.select("doc_id", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).count()
+    model = CountVectorizer(inputCol="words", outputCol="features", vocabSize=max(known, 1), minDF=min_docs).fit(rows)
     vectors = model.transform(rows).select("doc_id", "features")
-    shares = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online").fit(vectors).transform(vectors)
+    shares = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0).fit(vectors).transform(vectors)
     weights = vector_to_array("topicDistribution")
     return shares.select("doc_id", F.coalesce(F.array_position(weights, F.array_max(weights)).cast("int") - 1, F.lit(0)).alias("topic"))
 

@@ -687,7 +687,7 @@ def real_words(spark, d):
 
 @query()
 def lda_topics(spark, d):
-    return topics.lda_topics(table(spark, d, "documents"), iterations=10)
+    return topics.lda_topics(table(spark, d, "documents"))
 
 
 # Streams

@@ -168,6 +168,26 @@ def test_topics(spark):
     assert got == {1: "climate model", 2: "no topic set", 3: "no topic set"}
 
 
+def test_lda_takes_all(spark, data, monkeypatch):
+    """50 iterations over all documents, and no word of two documents is left out."""
+    from pyspark.ml.clustering import LDA
+
+    seen, fit = {}, LDA.fit
+
+    def watched(self, vectors):
+        seen.update(iterations=self.getMaxIter(), share=self.getSubsamplingRate(), words=vectors.first().features.size)
+        return fit(self.setMaxIter(1), vectors)
+
+    monkeypatch.setattr(LDA, "fit", watched)
+    assert catalogue.QUERIES["lda_topics"](spark, data).count() == spark.read.parquet(f"{data}/documents.parquet").count()
+    assert seen["iterations"] == 50 and seen["share"] == 1.0
+    letters = [chr(97 + i) for i in range(26)]
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters[:2]]  # 35,152
+    docs = spark.createDataFrame([(i, " ".join(words)) for i in range(2)], "doc_id bigint, text string")
+    topics.lda_topics(docs)
+    assert seen["words"] == len(words) - 100
+
+
 def test_words(spark):
     boxes = spark.createDataFrame([(1, 1, "b, c"), (1, 0, "a"), (1, 2, None), (2, 0, "")], "doc_id bigint, reading_sequence int, text string")
     found = words.index_words(boxes)
