@@ -496,10 +496,10 @@ def recovered_words(spark, d):
 _NO_RETURN = "media = 'web' and text is not null and not contains(text, '\\r') and not contains(text, '\\0')"
 
 
-def _pages(spark, d):
+def _pages(spark, d, which=_NO_RETURN):
     escaped = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     body = F.concat(F.lit('<html><head><title>t</title><script>var a = "<b>";</script></head><body><a rel="bookmark" href="/'), F.col("doc_id").cast("string"), F.lit('"></a><div class="post">'), escaped, F.lit("</div></body></html>"))
-    return table(spark, d, "documents").where(_NO_RETURN).select("doc_id", body.alias("html"))
+    return table(spark, d, "documents").where(which).select("doc_id", body.alias("html"))
 
 
 @query("SELECT doc_id, text FROM documents WHERE media = 'web' AND text IS NOT NULL AND NOT contains(text, chr(13)) AND NOT contains(text, chr(0))")
@@ -518,6 +518,26 @@ def html_post(spark, d):
     return html.post_text(_pages(spark, d), "doc_id")
 
 
+# The same for all pages, also those with carriage returns and NUL, which the SQL above leaves out
+
+_WEB = "media = 'web' and text is not null"
+
+
+@query()
+def html_text_all(spark, d):
+    return html.visible_text(_pages(spark, d, _WEB), "doc_id")
+
+
+@query()
+def html_links_all(spark, d):
+    return html.links(_pages(spark, d, _WEB), "doc_id")
+
+
+@query()
+def html_post_all(spark, d):
+    return html.post_text(_pages(spark, d, _WEB), "doc_id")
+
+
 # Embeddings
 
 _EMBEDDED = "t AS (SELECT label AS key, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, embedding AS e FROM embeddings), ph AS (SELECT key, i - 4 AS i, e FROM t WHERE i BETWEEN 4 AND 6)"

@@ -132,6 +132,17 @@ def test_html(spark):
     assert [(r.box_index, r.page_number, r.text) for r in html.boxes(rendered).orderBy("box_index").collect()] == [(0, 0, "a"), (1, 1, "b")]
 
 
+def test_html_of_all_pages(spark, tmp_path):
+    """Pages with carriage returns or NUL have rows too, and their texts come out as they went in."""
+    texts = {1: "a\nb", 2: "a\r\nb & c\r\n", 3: "a\rb < c\nd\r\n", 4: "a\0b"}
+    rows = [(k, v, "web") for k, v in texts.items()] + [(5, None, "web"), (6, "x", "pdf")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, media string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in run("html_text_all")} == texts
+    assert {r.doc_id: r.text for r in run("html_post_all")} == texts
+    assert sorted((r.doc_id, r.seq, r.href) for r in run("html_links_all")) == [(k, 0, f"/{k}") for k in texts]
+
+
 def test_matching(spark):
     texts = spark.createDataFrame([(1, "a b"), (2, "zz"), (3, None), (4, ""), (5, "a  b")], "item_id bigint, text string")
     pages = spark.createDataFrame([(10, "xx a\nb yy"), (11, None), (12, "ab")], "doc_id bigint, text string")
