@@ -128,6 +128,13 @@ def output_paths(spark, d):
     return rows.select("doc_id", text.output_paths(F.col("source"), "out")["txt_path"].alias("txt_path"))
 
 
+@query()
+def output_paths_all(spark, d):
+    """Of all rows with a source, also those that the SQL above leaves out."""
+    rows = table(spark, d, "documents").where("source is not null")
+    return rows.select("doc_id", text.output_paths(F.col("source"), "out")["txt_path"].alias("txt_path"))
+
+
 # Prose
 
 _SHARES = ", ".join(f"({ord(c)}, {n})" for c, n in prose.SAMPLE.items())
