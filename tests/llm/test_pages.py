@@ -88,6 +88,12 @@ def test_keys():
     assert pages.line_keys("Über uns\nüber uns 5")[0] == pages.line_keys("über UNS")[0]
 
 
+def test_long_labels():
+    """A label may end anywhere in a line."""
+    long = " ".join([*["abcdefghijklmnopqrstuvwx"] * 7, "says: hello"])
+    assert len(long) > 180 and len(pages.label_keys(long)) == 2 and pages.label_keys(long) == pages.label_keys(long + " there")
+
+
 def test_empty(spark):
     assert pages.boilerplate(spark.createDataFrame([], KIND)).count() == 0
 
