@@ -197,11 +197,11 @@ def labelled(ready: pages.Removal, labels: DataFrame, value: str, most: int = LA
     own = labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull()).groupBy("doc_id").agg(F.sort_array(F.collect_set(value)).alias("labels"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     few = ready.documents.join(F.broadcast(own), "doc_id")  # at most ``most`` rows
-    rows = few.select("doc_id", F.coalesce(clean_source(F.col("source")), F.lit("")).alias("source"), "labels", "media", "text", "known", "heads").orderBy("doc_id").toArrow().to_pylist()
+    rows = few.select("doc_id", F.coalesce(clean_source(F.col("source")), F.lit("")).alias("source"), "labels", "media", "text", "site", "known", "heads").orderBy("doc_id").toArrow().to_pylist()
     lookup, out = ready.lookup(), []
     for r in rows:
         lines = r["text"].split("\n")
-        gone = lookup(r["known"], r["heads"]).removed(lines, pages.line_keys(r["text"]), r["media"] == "web")
+        gone = lookup(r["site"], r["known"], r["heads"]).removed(lines, pages.line_keys(r["text"]), r["media"] == "web")
         out.append((r["source"], quality.body_lines(lines, gone), r["labels"]))
     return out
 

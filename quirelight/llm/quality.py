@@ -249,9 +249,9 @@ def measure(documents: DataFrame, extra=None, ready: pages.Removal | None = None
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 bodies = []
-                for media, text, known, heads in zip(*[c.to_pylist() for c in part.columns[2:]]):
+                for media, text, site, known, heads in zip(*[c.to_pylist() for c in part.columns[2:]]):
                     lines = text.split("\n")
-                    bodies.append(body_lines(lines, lookup(known, heads).removed(lines, pages.line_keys(text), media == "web")))
+                    bodies.append(body_lines(lines, lookup(site, known, heads).removed(lines, pages.line_keys(text), media == "web")))
                 columns = [part.column(0), pa.array(figures(bodies), pa.list_(pa.float64()))]
                 if more:
                     columns.append(pa.array(more(bodies), pa.list_(pa.float64())))
@@ -261,7 +261,7 @@ def measure(documents: DataFrame, extra=None, ready: pages.Removal | None = None
 
     names = ["doc_id", "figures"] + ["extra"] * bool(extra) + ["source"] * keep_source
     kinds = {"doc_id": "bigint", "figures": "array<double>", "extra": "array<double>", "source": "string"}
-    source = ready.documents.select("doc_id", F.coalesce(clean_source(F.col("source")), F.lit("")).alias("source"), "media", "text", "known", "heads")
+    source = ready.documents.select("doc_id", F.coalesce(clean_source(F.col("source")), F.lit("")).alias("source"), "media", "text", "site", "known", "heads")
     return source.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
