@@ -61,12 +61,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return levels.levels(table(spark, d, "documents"), table(spark, d, "level_labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_quality, p2_found, p2_clean, p3_found, p3_classes, p4_found, p5_found, p5_bodies, p6_ids, p7_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_quality, p2_found, p2_clean, p3_found, p3_classes, p4_found, p5_found, p5_bodies, p6_ids, p7_found, p7_spans, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,6 +1,7 @@
 """Leaked test items against comparing every window."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -67,9 +68,58 @@ def test_empty(spark):
     assert leaks.leaks(docs.union(docs), items.union(items)).count() == 1
 
 
-def test_blocks(spark, monkeypatch):
-    """Items beyond the bound are searched in further blocks."""
-    monkeypatch.setattr(leaks, "ITEM_BYTES", 4)
-    docs = spark.createDataFrame([(1, "x a b c y d e"), (2, "f g")], DOCS)
-    items = spark.createDataFrame([(1, "a b c"), (2, "d e"), (3, "f g"), (4, "q")], ITEMS)
-    assert {tuple(r) for r in leaks.leaks(docs, items).collect()} == {(1, 1), (1, 2), (2, 3)}
+def brute_spans(docs, items):
+    """Longest shared runs on each diagonal."""
+    out = set()
+    for d, text in docs:
+        w = leaks.words(text)
+        for i, item in items:
+            v = leaks.words(item)
+            least = min(10, len(v))
+            for shift in range(-len(v), len(w)) if v else ():
+                k = 0
+                for p in range(max(0, shift), min(len(w), shift + len(v)) + 1):
+                    if p < min(len(w), shift + len(v)) and w[p] == v[p - shift]:
+                        k += 1
+                        continue
+                    if k >= least:
+                        out.add((d, i, p - k, p - k - shift, k))
+                    k = 0
+    return out
+
+
+@pytest.mark.parametrize("bound", [64, 1 << 40])
+def test_spans(spark, monkeypatch, bound):
+    """Whole spans by a broadcast and by a join, also where a hot span is split."""
+    monkeypatch.setattr(leaks, "SPAN_BYTES", bound)
+    if bound > 64:
+        whole = leaks.spread_join
+        monkeypatch.setattr(leaks, "spread_join", lambda *a: whole(*a, 2))
+    rng = random.Random(1)
+    vocabulary = [f"w{n}" for n in range(30)]
+    items = [(n, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 4, 9, 10, 30, 60])))) for n in range(20)] + [(3, "w1 w2 w3"), (60, None), (61, "")]
+    opening = " ".join(f"o{n}" for n in range(12))
+    items += [(100 + n, f"{opening} {rng.choice(vocabulary)} z{n}") for n in range(20)]
+    docs = []
+    for d in range(40):
+        passage = leaks.words(rng.choice(items)[1]) or ["x"]
+        start = rng.randrange(len(passage))
+        docs.append((d, " ".join([*(rng.choice(vocabulary) for _ in range(20)), *passage[start : start + 40], *(rng.choice(vocabulary) for _ in range(20)), *passage[:15]])))
+    docs += [(90, None), (91, "w1 w2 w3"), (92, opening)]
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    found = [tuple(r) for r in leaks.spans(d, i).collect()]
+    assert set(found) == brute_spans(docs, items) and len(found) == len(set(found)) and max(f[4] for f in found) > 25
+    assert {tuple(r) for r in leaks.leaks(d, i).collect()} == brute(docs, items)
+
+
+def test_common_opening():
+    """Items that begin alike cost next to nothing where the texts differ soon after."""
+    opening = leaks.word_hashes(["once upon a time there was"])[0][:-1]
+    rng = np.random.default_rng(0)
+    every = [np.concatenate([opening, rng.integers(1, 2**63, 8, dtype=np.uint64)]) for _ in range(20_000)]
+    marks, spans = (np.concatenate(x) for x in zip(*[(leaks.grams(e, 5)[leaks.winnow(leaks.grams(e, 5))], leaks.grams(e, 10)) for e in every]))
+    index = leaks.Index(leaks.Sorted(marks), leaks.Sorted(spans), leaks.Sorted(marks[:0]), [])
+    text = "once upon a time there was a " + " ".join(f"x{n}" for n in range(150))
+    began = time.perf_counter()
+    assert not len(index.scan([text] * 100)[0])
+    assert (time.perf_counter() - began) / 100 < 0.1
