@@ -6,8 +6,10 @@ All windows are on (``doc_id``, ``page_number``) or coarser by ``doc_id``, so th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -18,11 +20,10 @@ WIDTH, HEIGHT, GRID = 700.0, 2**0.5 * 700.0, 100
 #: Class prefixes in the order in which sorting puts them, and the property each one's rule gives.
 PREFIXES = ("ff", "fs", "h", "x", "y")
 PROPERTIES = ("line-height", "font-size", "height", "left", "bottom")
-#: Distances below this count as the same line; share of the median that a body line's distance may be off.
+#: Distances below this, in page units, count as the same line; share of the median that a body line's distance may be off.
 SAME_LINE, SPREAD, LEFT_MARGIN = 0.3, 0.1, 0.05
 
 
-
 def _page() -> WindowSpec:
     return Window.partitionBy("doc_id", "page_number")
 
@@ -79,82 +80,117 @@ def _kernel(sigma: float) -> np.ndarray:
     return k / k.sum()
 
 
-def blur(field: np.ndarray, sigma: float) -> np.ndarray:
+def blur(field: np.ndarray, sigma: float, axes: tuple[int, ...] = (0, 1)) -> np.ndarray:
     """Separable Gaussian filter, the field mirrored at its edges."""
     k = _kernel(sigma)
     r = len(k) // 2
-    for axis in (0, 1):
+    for axis in axes:
         padded = np.pad(field, [(r, r) if a == axis else (0, 0) for a in (0, 1)], "symmetric")
         field = sum(w * (padded[n : n + field.shape[0]] if axis == 0 else padded[:, n : n + field.shape[1]]) for n, w in enumerate(k))
     return field
 
 
-def count_peaks(row: np.ndarray, distance: int = 15, prominence: float = 1e-6) -> int:
-    """Peaks (the middle of flat ones) of a row, the higher first, none within ``distance`` of a higher one and all of some prominence."""
-    peaks, n = [], 1
-    while n < len(row) - 1:
-        if row[n - 1] < row[n]:
-            end = n
-            while end < len(row) - 1 and row[end + 1] == row[n]:
-                end += 1
-            if end < len(row) - 1 and row[end + 1] < row[n]:
-                peaks.append((n + end) // 2)
-            n = end
-        n += 1
-    kept: list[int] = []
-    for p in sorted(peaks, key=lambda p: (-row[p], -p)):
-        if all(abs(p - q) >= distance for q in kept):
-            kept.append(p)
-
-    def prominent(p: int) -> bool:
-        left = right = row[p]
-        n = p
-        while n >= 0 and row[n] <= row[p]:
-            left, n = min(left, row[n]), n - 1
-        n = p
-        while n < len(row) and row[n] <= row[p]:
-            right, n = min(right, row[n]), n + 1
-        return row[p] - max(left, right) >= prominence
-
-    return sum(map(prominent, kept))
-
-
-def columns_of(fine: np.ndarray) -> int:
-    """The most frequent number of peaks of the rows between a tenth and nine tenths of the height; 1 for an empty page."""
-    counts: dict[int, int] = {}
-    for h in range(GRID // 10, GRID * 9 // 10):
-        if n := count_peaks(fine[h]):
-            counts[n] = counts.get(n, 0) + 1
-    return max(counts, key=counts.get) if counts else 1
+def _blur_matrix(sigma: float) -> np.ndarray:
+    """The filter along one axis as a matrix, the field mirrored at its edges."""
+    return blur(np.eye(GRID), sigma, (0,))
+
+
+def peak_counts(rows: np.ndarray, distance: int = 15, prominence: float = 1e-6) -> np.ndarray:
+    """Of each row the number of peaks (the middle of flat ones): the higher first, of equal ones the later, none within ``distance`` of one taken before, and all of some prominence."""
+    n, width = rows.shape
+    step = np.sign(np.diff(rows, axis=1)).astype(np.int8)
+    # of each place the next step that isn't level
+    after = np.minimum.accumulate(np.where(step != 0, np.arange(width - 1), width)[:, ::-1], axis=1)[:, ::-1]
+    row, left = np.nonzero(step[:, :-1] > 0)
+    end = after[row, left + 1]
+    falls = end < width
+    falls[falls] = step[row[falls], end[falls]] < 0
+    row, at = row[falls], (left[falls] + 1 + end[falls]) // 2
+    order = np.lexsort((-at, -rows[row, at], row))
+    row, at = row[order], at[order]
+    kept = np.zeros(len(row), bool)
+    open_ = np.ones(len(row), bool)
+    while open_.any():  # a round takes one peak of each row
+        place = np.flatnonzero(open_)
+        first = place[np.concatenate([[True], row[place[1:]] != row[place[:-1]]])]
+        kept[first] = True
+        taken = np.full(n, -distance * width)
+        taken[row[first]] = at[first]
+        open_ &= np.abs(at - taken[row]) >= distance
+    row, at = row[kept], at[kept]
+    top = rows[row, at]
+    base = np.full(len(row), -np.inf)
+    for way in (-1, 1):
+        low, there = top.copy(), np.ones(len(row), bool)
+        for k in range(1, width):
+            place = at + way * k
+            there &= (place >= 0) & (place < width)
+            value = rows[row, np.clip(place, 0, width - 1)]
+            there &= value <= top
+            if not there.any():
+                break
+            low = np.where(there, np.minimum(low, value), low)
+        base = np.maximum(base, low)
+    return np.bincount(row[top - base >= prominence], minlength=n)
+
+
+def columns_of(fine: np.ndarray) -> np.ndarray:
+    """Of each page (an array of fields) the most frequent number of peaks of the rows between a tenth and nine tenths of the height, of equally frequent ones the lowest row's; 1 for an empty page."""
+    heights = range(GRID // 10, GRID * 9 // 10)
+    counts = peak_counts(fine[:, :, heights].transpose(0, 2, 1).reshape(-1, GRID)).reshape(len(fine), -1)
+    most = counts.max(initial=0) + 1
+    often = np.stack([(counts == k).sum(axis=1) for k in range(1, most)], axis=1) if most > 1 else np.zeros((len(fine), 0), int)
+    out = np.ones(len(fine), int)
+    for n in range(len(fine)):
+        if often.shape[1] and often[n].max():
+            tied = np.flatnonzero(often[n] == often[n].max()) + 1
+            out[n] = next(c for c in counts[n] if c in tied)
+    return out
 
 
 def density(placed: DataFrame) -> DataFrame:
-    """``(doc_id, page_number, box_index, coarse, fine, page_columns)``: densities at the boxes and the page's columns."""
-
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        gx = np.clip((rows["nx"].to_numpy() * GRID).astype(int), 0, GRID - 1)
-        gy = np.clip((rows["ny"].to_numpy() * GRID).astype(int), 0, GRID - 1)
-        dotted = np.zeros((GRID, GRID))
-        dotted[gx, gy] = 1
-        fine = blur(dotted, 0.5)
-        return rows[["doc_id", "page_number", "box_index"]].assign(coarse=blur(dotted, 3.0)[gx, gy], fine=fine[gx, gy], page_columns=columns_of(fine.T))
-
-    slim = placed.select("doc_id", "page_number", "box_index", "nx", "ny")
-    return slim.groupBy("doc_id", "page_number").applyInPandas(page, "doc_id bigint, page_number int, box_index int, coarse double, fine double, page_columns int")
+    """``(doc_id, page_number, box_index, coarse, fine, page_columns)``: densities at the boxes and the page's columns, many pages at a time."""
+    coarse, fine = _blur_matrix(3.0), _blur_matrix(0.5)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                boxes = part.column(2)
+                sizes, rows = np.diff(boxes.offsets.to_numpy()), boxes.flatten()
+                page = np.repeat(np.arange(part.num_rows), sizes)
+                gx, gy = (rows.field(c).to_numpy() for c in ("gx", "gy"))
+                dotted = np.zeros((part.num_rows, GRID, GRID))
+                dotted[page, gx, gy] = 1
+                narrow = np.round(fine @ dotted @ fine.T, 12)  # what is level must not differ by the order of sums
+                wide, columns = coarse @ dotted @ coarse.T, columns_of(narrow)
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(n).take(pa.array(page)) for n in (0, 1)], rows.field("box_index"), pa.array(wide[page, gx, gy]), pa.array(narrow[page, gx, gy]), pa.array(columns[page].astype(np.int32))],
+                    ["doc_id", "page_number", "box_index", "coarse", "fine", "page_columns"],
+                )
+
+    pages = placed.groupBy("doc_id", "page_number").agg(F.collect_list(F.struct("box_index", cell(F.col("nx")).alias("gx"), cell(F.col("ny")).alias("gy"))).alias("boxes"))
+    return pages.mapInArrow(run, "doc_id bigint, page_number int, box_index int, coarse double, fine double, page_columns int")
 
 
 def density_field(placed: DataFrame, sigma: float = 3.0) -> DataFrame:
     """``(doc_id, gx, gy, density)``: the pages' blurred grids summed cell by cell; cells of no density are left out."""
+    matrix = _blur_matrix(sigma)
 
-    def spread(rows: pd.DataFrame) -> pd.DataFrame:
-        dotted = np.zeros((GRID, GRID))
-        dotted[rows["gx"], rows["gy"]] = 1
-        field = blur(dotted, sigma)
-        gx, gy = np.nonzero(field > 1e-12)
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "gx": gx, "gy": gy, "density": field[gx, gy]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                cells = part.column(1)
+                page, rows = np.repeat(np.arange(part.num_rows), np.diff(cells.offsets.to_numpy())), cells.flatten()
+                dotted = np.zeros((part.num_rows, GRID, GRID))
+                dotted[page, rows.field("gx").to_numpy(), rows.field("gy").to_numpy()] = 1
+                field = matrix @ dotted @ matrix.T
+                page, gx, gy = np.nonzero(field > 1e-12)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(page)), pa.array(gx.astype(np.int32)), pa.array(gy.astype(np.int32)), pa.array(field[page, gx, gy])], ["doc_id", "gx", "gy", "density"])
 
-    pages = grid(placed).groupBy("doc_id", "page_number").applyInPandas(spread, "doc_id bigint, gx int, gy int, density double")
-    return pages.groupBy("doc_id", "gx", "gy").agg(F.sum("density").alias("density"))
+    pages = grid(placed).groupBy("doc_id", "page_number").agg(F.collect_list(F.struct("gx", "gy")).alias("cells")).select("doc_id", "cells")
+    return pages.mapInArrow(run, "doc_id bigint, gx int, gy int, density double").groupBy("doc_id", "gx", "gy").agg(F.sum("density").alias("density"))
 
 
 def document_columns(measured: DataFrame) -> DataFrame:
@@ -171,12 +207,13 @@ def column_labels(placed: DataFrame, columns: Column) -> DataFrame:
     return placed.withColumn("column_label", F.coalesce(label, F.lit(0)))
 
 
-def line_distances(labelled: DataFrame, value: str = "y") -> DataFrame:
-    """``before`` and ``behind``: distances to the neighbours down the columns of a page, those of lines of the same height taken from the line before them."""
-    down = _page().orderBy("column_label", F.desc(value), "box_index")
-    up = _page().orderBy(F.desc("column_label"), value, F.desc("box_index"))
-    y = F.col(value)
-    out = labelled.withColumns({"d_before": F.abs(y - F.coalesce(F.lag(y).over(down), F.lit(0.0))), "d_behind": F.abs(F.coalesce(F.lead(y).over(down), F.lit(1.0)) - y)})
+def line_distances(labelled: DataFrame) -> DataFrame:
+    """``before`` and ``behind``: distances to the neighbours down the columns of a page, in its units; beyond the first and the last line are
+    the page's edges. Those of lines of the same height are taken from the line before them."""
+    down = _page().orderBy("column_label", F.desc("y"), "box_index")
+    up = _page().orderBy(F.desc("column_label"), "y", F.desc("box_index"))
+    y, top, bottom = F.col("y"), F.greatest(F.max("y").over(_page()), F.lit(HEIGHT)), F.least(F.min("y").over(_page()), F.lit(0.0))
+    out = labelled.withColumns({"d_before": F.abs(y - F.coalesce(F.lag(y).over(down), top)), "d_behind": F.abs(F.coalesce(F.lead(y).over(down), bottom) - y)})
     return out.withColumns({"before": threshold_fill(F.col("d_before"), SAME_LINE, up), "behind": threshold_fill(F.col("d_behind"), SAME_LINE, down)})
 
 
@@ -237,7 +274,7 @@ def debug_colour(label: Column) -> Column:
 
 def missing_attributes(results: DataFrame, names: list[str]) -> DataFrame:
     """``missing``: the named columns that are null, zero or empty in a row."""
-    empty = [F.when(F.coalesce(F.col(n).cast("string"), F.lit("")).isin("", "0", "[]", "{}"), F.lit(n)) for n in names]
+    empty = [F.when(F.coalesce(F.col(n).cast("string"), F.lit("")).isin("", "0", "0.0", "-0.0", "[]", "{}"), F.lit(n)) for n in names]
     return results.withColumn("missing", F.array_compact(F.array(*empty)))
 
 
@@ -245,4 +282,4 @@ def recover(boxes: DataFrame) -> DataFrame:
     """The whole way: body boxes of each document in reading order, with ``columns``, ``column_label`` and ``reading_sequence``."""
     placed = points(distinct_boxes(boxes))
     labelled = column_labels(placed.join(document_columns(density(placed)), "doc_id"), F.col("columns"))
-    return reading_order(body_mask(line_distances(labelled, "ny")).where("in_body"))
+    return reading_order(body_mask(line_distances(labelled)).where("in_body"))

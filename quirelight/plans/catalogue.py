@@ -378,21 +378,80 @@ def grid_bins(spark, d):
     return layout.grid(layout.points(_boxes(spark, d)))
 
 
-#: Labels by two columns on each page: the density's columns need the kernel and have no equal in SQL.
-_LABELS = f"{_POINTS}, bd AS (SELECT *, coalesce(min(CASE WHEN nx > 0.05 THEN nx END) OVER (PARTITION BY doc_id, page_number), 0.05) AS border FROM pt), lb AS (SELECT *, CAST(trunc((nx - border + 0.9) / (1 - 2 * border) * 2) AS INT) AS label FROM bd)"
-_ORDER = "o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, mean_x, label, y DESC, box_index) - 1 AS seq FROM (SELECT *, avg(x) OVER (PARTITION BY doc_id, page_number, label) AS mean_x FROM lb))"
+# The density of each page's cells by the mirrored kernel, and the peaks of its rows: what is higher than its surroundings (of a level top
+# the middle), taken from the highest, of equals the last, not within 15 of one taken, at least 1e-6 above the higher of the lows on its two sides
+# towards something higher. A page has the most frequent number of peaks of its rows, a document the most frequent of its pages.
+
+
+def _kernel_sql(name: str, sigma: float) -> str:
+    r = int(4 * sigma + 0.5)
+    return f"""{name} AS (SELECT s, x, sum(w) AS w FROM (SELECT s, x, exp(-0.5 * pow((img - x) / {sigma}, 2)) / (SELECT sum(exp(-0.5 * pow(k / {sigma}, 2))) FROM range({-r}, {r + 1}) r(k)) AS w
+ FROM (SELECT s, unnest([s, -1 - s, 199 - s]) AS img FROM range(100) g(s)) i, range(100) g(x) WHERE abs(img - x) <= {r}) GROUP BY s, x)"""
+
+
+_CELLS = f"""{_POINTS}, cl AS (SELECT *, greatest(least(CAST(trunc(nx * 100) AS INT), 99), 0) AS gx, greatest(least(CAST(trunc(ny * 100) AS INT), 99), 0) AS gy FROM pt),
+dt AS (SELECT DISTINCT doc_id, page_number, gx, gy FROM cl), {_kernel_sql("k3", 3.0)}, {_kernel_sql("k05", 0.5)}"""
+_FINE = f"""{_CELLS}, fi AS (SELECT doc_id, page_number, kx.x AS gx, ky.x AS gy, round(sum(kx.w * ky.w), 12) AS v FROM dt JOIN k05 kx ON kx.s = gx JOIN k05 ky ON ky.s = gy GROUP BY ALL)"""
+_COLUMNS = f"""{_FINE}, hr AS (SELECT DISTINCT doc_id, page_number, gy FROM fi WHERE gy BETWEEN 10 AND 89),
+rw AS (SELECT hr.doc_id, hr.page_number, hr.gy, list(coalesce(v, 0.0) ORDER BY g.x) AS v FROM hr CROSS JOIN range(100) g(x) LEFT JOIN fi ON fi.doc_id = hr.doc_id AND fi.page_number = hr.page_number AND fi.gy = hr.gy AND fi.gx = g.x GROUP BY ALL),
+pk AS (SELECT doc_id, page_number, gy, v, list_filter(list_transform(list_filter(range(1, 99), lambda n: v[n] < v[n + 1]), lambda n: [n, coalesce(list_min(list_filter(range(n + 1, 100), lambda m: v[m + 1] <> v[n + 1])), 100)]),
+ lambda p: p[2] < 100 AND coalesce(v[p[2] + 1], 9) < v[p[1] + 1]) AS ps FROM rw),
+md AS (SELECT doc_id, page_number, gy, v, list_transform(ps, lambda p: (p[1] + p[2] - 1) // 2) AS ms FROM pk),
+sr AS (SELECT doc_id, page_number, gy, v, list_transform(list_sort(list_transform(ms, lambda m: struct_pack(h := -v[m + 1], m := -m))), lambda s: [-s.m]) AS ms FROM md WHERE len(ms) > 0),
+kp AS (SELECT doc_id, page_number, gy, v, list_reduce(ms, lambda a, b: CASE WHEN len(list_filter(a, lambda q: abs(q - b[1]) < 15)) = 0 THEN list_concat(a, b) ELSE a END) AS ms FROM sr),
+pr AS (SELECT doc_id, page_number, gy, v, unnest(ms) AS m FROM kp),
+lo AS (SELECT *, coalesce(list_max(list_filter(range(0, m), lambda n: v[n + 1] > v[m + 1])), -1) AS l, coalesce(list_min(list_filter(range(m + 1, 100), lambda n: v[n + 1] > v[m + 1])), 100) AS r FROM pr),
+pc AS (SELECT doc_id, page_number, gy, count(*) AS n FROM lo WHERE v[m + 1] - greatest(list_min(v[l + 2 : m + 1]), list_min(v[m + 1 : r])) >= 1e-6 GROUP BY ALL),
+pn AS (SELECT doc_id, page_number, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY c DESC, f) AS rn FROM (SELECT doc_id, page_number, n, count(*) AS c, min(gy) AS f FROM pc GROUP BY ALL)) WHERE rn = 1),
+pg AS (SELECT doc_id, page_number, coalesce(n, 1) AS n FROM (SELECT DISTINCT doc_id, page_number FROM pt) LEFT JOIN pn USING (doc_id, page_number)),
+dc AS (SELECT doc_id, CAST(n AS INT) AS columns FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, f) AS rn FROM (SELECT doc_id, n, count(*) AS c, min(page_number) AS f FROM pg GROUP BY ALL)) WHERE rn = 1)"""
+_LABELS = f"{_COLUMNS}, bd AS (SELECT *, coalesce(min(CASE WHEN nx > 0.05 THEN nx END) OVER (PARTITION BY doc_id, page_number), 0.05) AS border FROM pt), lb AS (SELECT bd.*, columns, CAST(trunc((nx - border + 0.9) / (1 - 2 * border) * columns) AS INT) AS label FROM bd JOIN dc ON bd.doc_id = dc.doc_id)"
+
+
+def _order_sql(rows: str) -> str:
+    return f"o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, mean_x, label, y DESC, box_index) - 1 AS seq FROM (SELECT *, avg(x) OVER (PARTITION BY doc_id, page_number, label) AS mean_x FROM {rows}))"
+
+
+_ORDER = _order_sql("lb")
+
+
+def _columns(spark, d):
+    return layout.document_columns(layout.density(layout.points(_boxes(spark, d))))
 
 
 def _labels(spark, d):
-    return layout.column_labels(layout.points(_boxes(spark, d)), F.lit(2))
+    return layout.column_labels(layout.points(_boxes(spark, d)).join(_columns(spark, d), "doc_id"), F.col("columns"))
+
+
+@query(f"""WITH {_FINE}, co AS (SELECT cl.doc_id, cl.page_number, box_index, sum(kx.w * ky.w) AS coarse FROM cl JOIN dt ON cl.doc_id = dt.doc_id AND cl.page_number = dt.page_number JOIN k3 kx ON kx.s = dt.gx AND kx.x = cl.gx JOIN k3 ky ON ky.s = dt.gy AND ky.x = cl.gy GROUP BY ALL)
+SELECT cl.doc_id, cl.page_number, cl.box_index, round(coarse, 7) AS coarse, round(v, 7) AS fine FROM cl JOIN co USING (doc_id, page_number, box_index) JOIN fi ON fi.doc_id = cl.doc_id AND fi.page_number = cl.page_number AND fi.gx = cl.gx AND fi.gy = cl.gy""")
+def density(spark, d):
+    found = layout.density(layout.points(_boxes(spark, d)))
+    return found.select("doc_id", "page_number", "box_index", F.round("coarse", 7).alias("coarse"), F.round("fine", 7).alias("fine"))
+
 
+@query(f"WITH {_COLUMNS} SELECT doc_id, page_number, CAST(n AS INT) AS page_columns FROM pg")
+def page_columns(spark, d):
+    return layout.density(layout.points(_boxes(spark, d))).select("doc_id", "page_number", "page_columns").distinct()
 
-@query(f"WITH {_LABELS} SELECT doc_id, box_index, label AS column_label FROM lb")
+
+@query(f"WITH {_CELLS} SELECT doc_id, CAST(kx.x AS INT) AS gx, CAST(ky.x AS INT) AS gy, round(sum(kx.w * ky.w), 7) AS density FROM dt JOIN k3 kx ON kx.s = gx JOIN k3 ky ON ky.s = gy GROUP BY doc_id, kx.x, ky.x")
+def density_field(spark, d):
+    return layout.density_field(layout.points(_boxes(spark, d))).select("doc_id", "gx", "gy", F.round("density", 7).alias("density"))
+
+
+@query(f"WITH {_COLUMNS} SELECT doc_id, columns FROM dc")
+def column_count(spark, d):
+    return _columns(spark, d)
+
+
+@query(f"WITH {_LABELS} SELECT doc_id, box_index, columns, label AS column_label FROM lb")
 def column_labels(spark, d):
-    return _labels(spark, d).select("doc_id", "box_index", "column_label")
+    return _labels(spark, d).select("doc_id", "box_index", "columns", "column_label")
 
 
-_DISTANCES = f"""{_LABELS}, ds AS (SELECT *, abs(y - coalesce(lag(y) OVER dn, 0.0)) AS d1, abs(coalesce(lead(y) OVER dn, 1.0) - y) AS d2 FROM lb WINDOW dn AS (PARTITION BY doc_id, page_number ORDER BY label, y DESC, box_index)),
+_DISTANCES = f"""{_LABELS}, eg AS (SELECT *, greatest(max(y) OVER p, sqrt(2.0::DOUBLE) * 700) AS top, least(min(y) OVER p, 0.0::DOUBLE) AS bottom FROM lb WINDOW p AS (PARTITION BY doc_id, page_number)),
+ds AS (SELECT *, abs(y - coalesce(lag(y) OVER dn, top)) AS d1, abs(coalesce(lead(y) OVER dn, bottom) - y) AS d2 FROM eg WINDOW dn AS (PARTITION BY doc_id, page_number ORDER BY label, y DESC, box_index)),
 sd AS (SELECT *, coalesce(last_value(CASE WHEN d1 >= 0.3 THEN d1 END IGNORE NULLS) OVER (PARTITION BY doc_id, page_number ORDER BY label DESC, y, box_index DESC ROWS UNBOUNDED PRECEDING), 0.0) AS bf,
  coalesce(last_value(CASE WHEN d2 >= 0.3 THEN d2 END IGNORE NULLS) OVER (PARTITION BY doc_id, page_number ORDER BY label, y DESC, box_index ROWS UNBOUNDED PRECEDING), 0.0) AS bh FROM ds)"""
 
@@ -402,8 +461,11 @@ def line_distances(spark, d):
     return layout.line_distances(_labels(spark, d)).select("doc_id", "box_index", F.round("before", 4).alias("before"), F.round("behind", 4).alias("behind"))
 
 
-@query(f"""WITH {_DISTANCES}, md AS (SELECT doc_id, page_number, median(x) AS m FROM (SELECT doc_id, page_number, bf AS x FROM sd UNION ALL SELECT doc_id, page_number, bh FROM sd) GROUP BY ALL)
-SELECT sd.doc_id, box_index, (bf > m * 0.9 AND bf < m * 1.1) OR (bh > m * 0.9 AND bh < m * 1.1) AS in_body FROM sd JOIN md ON sd.doc_id = md.doc_id AND sd.page_number = md.page_number""")
+_MASK = f"""{_DISTANCES}, mi AS (SELECT doc_id, page_number, median(x) AS m FROM (SELECT doc_id, page_number, bf AS x FROM sd UNION ALL SELECT doc_id, page_number, bh FROM sd) GROUP BY ALL),
+bm AS (SELECT sd.*, (bf > m * (1 - 0.1::DOUBLE) AND bf < m * (1 + 0.1::DOUBLE)) OR (bh > m * (1 - 0.1::DOUBLE) AND bh < m * (1 + 0.1::DOUBLE)) AS in_body FROM sd JOIN mi ON sd.doc_id = mi.doc_id AND sd.page_number = mi.page_number)"""
+
+
+@query(f"WITH {_MASK} SELECT doc_id, box_index, in_body FROM bm")
 def body_mask(spark, d):
     return layout.body_mask(layout.line_distances(_labels(spark, d))).select("doc_id", "box_index", "in_body")
 
@@ -413,14 +475,14 @@ def reading_order(spark, d):
     return layout.reading_order(_labels(spark, d)).select("doc_id", "box_index", "reading_sequence")
 
 
-_COLUMN_TEXT = f"WITH {_LABELS}, {_ORDER} SELECT doc_id, page_number, CAST(row_number() OVER (PARTITION BY doc_id, page_number ORDER BY min(seq)) - 1 AS INT) AS column_no, string_agg(coalesce(text, ''), ' ' ORDER BY seq) AS column_text FROM o GROUP BY doc_id, page_number, label"
+_COLUMN_TEXT = f"WITH {_LABELS}, {_ORDER} SELECT doc_id, page_number, CAST(row_number() OVER (PARTITION BY doc_id, page_number ORDER BY min(seq)) - 1 AS INT) AS column_no, string_agg(coalesce(text, ''), ' ' ORDER BY seq) AS column_text, any_value(columns) AS columns FROM o GROUP BY doc_id, page_number, label"
 
 
 def _column_text(spark, d):
     return layout.column_text(layout.reading_order(_labels(spark, d)))
 
 
-@query(_COLUMN_TEXT)
+@query(f"SELECT doc_id, page_number, column_no, column_text FROM ({_COLUMN_TEXT})")
 def column_text(spark, d):
     return _column_text(spark, d)
 
@@ -428,74 +490,33 @@ def column_text(spark, d):
 @query(f"""WITH ct AS ({_COLUMN_TEXT}), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page_number) AS n FROM ct),
 k AS (SELECT *, list_transform(range(1, n + 1), lambda j: (length(column_text) - length(replace(column_text, CAST(j AS VARCHAR), ''))) / length(CAST(j AS VARCHAR))) AS c FROM n),
 s AS (SELECT *, CASE WHEN contains(column_text, 'text') AND contains(column_text, 'column') THEN 1 ELSE 0 END + CASE WHEN c[column_no + 1] > 0 THEN 3 * c[column_no + 1] - 3 * (1 + list_sum(c) - c[column_no + 1]) ELSE 0 END AS s FROM k),
-pg AS (SELECT doc_id, page_number, sum(s) AS s, max(n) AS n FROM s GROUP BY ALL)
-SELECT doc_id, CAST(sum(s + 10 + CASE WHEN n = 2 THEN 10 ELSE 0 END) AS DOUBLE) AS score FROM pg GROUP BY doc_id""")
+pg AS (SELECT doc_id, page_number, sum(s) AS s, max(n) AS n, any_value(columns) AS columns FROM s GROUP BY ALL)
+SELECT doc_id, CAST(sum(s + CASE WHEN columns = 2 THEN 10 ELSE 0 END + CASE WHEN n = columns THEN 10 ELSE 0 END) AS DOUBLE) AS score FROM pg GROUP BY doc_id""")
 def layout_score(spark, d):
-    columns = table(spark, d, "boxes").select("doc_id").distinct().withColumn("columns", F.lit(2))
-    return layout.layout_score(_column_text(spark, d), columns, 2)
-
-
-# The same by the columns that the density finds, which have no equal in SQL
-
-
-def _found_columns(spark, d):
-    return layout.document_columns(layout.density(layout.points(_boxes(spark, d))))
-
-
-def _found_labels(spark, d):
-    return layout.column_labels(layout.points(_boxes(spark, d)).join(_found_columns(spark, d), "doc_id"), F.col("columns"))
+    return layout.layout_score(_column_text(spark, d), _columns(spark, d), 2)
 
 
-@query()
-def found_column_labels(spark, d):
-    return _found_labels(spark, d).select("doc_id", "box_index", "columns", "column_label")
-
-
-@query()
-def found_line_distances(spark, d):
-    return layout.line_distances(_found_labels(spark, d)).select("doc_id", "box_index", F.round("before", 4).alias("before"), F.round("behind", 4).alias("behind"))
-
-
-@query()
-def found_body_mask(spark, d):
-    return layout.body_mask(layout.line_distances(_found_labels(spark, d))).select("doc_id", "box_index", "in_body")
-
-
-@query()
-def found_reading_order(spark, d):
-    return layout.reading_order(_found_labels(spark, d)).select("doc_id", "box_index", "reading_sequence")
-
-
-@query()
-def found_column_text(spark, d):
-    return layout.column_text(layout.reading_order(_found_labels(spark, d)))
-
-
-@query()
-def found_layout_score(spark, d):
-    return layout.layout_score(found_column_text(spark, d), _found_columns(spark, d), 2)
+@query(f"""WITH {_MASK}, {_order_sql("(SELECT * FROM bm WHERE in_body)")}, tk AS (SELECT doc_id, seq, {_token_sql("text")} AS t FROM o)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq, i) - 1 AS BIGINT) AS word_index, t[i] AS word FROM (SELECT doc_id, seq, t, unnest(range(1, len(t) + 1)) AS i FROM tk)""")
+def recovered_words(spark, d):
+    return words.index_words(layout.recover(table(spark, d, "boxes"))).select("doc_id", "word_index", "word")
 
 
-@query()
-def density(spark, d):
-    found = layout.density(layout.points(_boxes(spark, d)))
-    return found.select("doc_id", "page_number", "box_index", F.round("coarse", 9).alias("coarse"), F.round("fine", 9).alias("fine"), "page_columns")
+@query("SELECT doc_id, box_index, (CASE WHEN text IS NULL OR text IN ('', '0') THEN 'text ' ELSE '' END) || (CASE WHEN x IS NULL OR x = 0 THEN 'x ' ELSE '' END) || (CASE WHEN y IS NULL OR y = 0 THEN 'y ' ELSE '' END) AS missing FROM boxes")
+def missing_attributes(spark, d):
+    rows = layout.missing_attributes(table(spark, d, "boxes"), ["text", "x", "y"])
+    return rows.select("doc_id", "box_index", F.array_join(F.transform("missing", lambda m: F.concat(m, F.lit(" "))), "").alias("missing"))
 
 
-@query()
-def density_field(spark, d):
-    found = layout.density_field(layout.points(_boxes(spark, d)))
-    return found.select("doc_id", "gx", "gy", F.round("density", 9).alias("density"))
+@query(f"WITH {_LABELS} SELECT doc_id, box_index, abs(label + 2) / 5 AS colour FROM lb")
+def debug_colours(spark, d):
+    return _labels(spark, d).select("doc_id", "box_index", layout.debug_colour(F.col("column_label")).alias("colour"))
 
 
-@query()
-def column_count(spark, d):
-    return layout.document_columns(layout.density(layout.points(_boxes(spark, d))))
-
-
-@query()
-def recovered_words(spark, d):
-    return words.index_words(layout.recover(table(spark, d, "boxes"))).select("doc_id", "word_index", "word")
+@query("SELECT trial_id, CAST(k AS INT) AS k, round(val * 0.5 + k * val * 0.2, 6) AS val FROM (SELECT trial_id, val, unnest(range(0, 5)) AS k FROM trials WHERE val IS NOT NULL AND val <> 0)")
+def evaluation_ranges(spark, d):
+    rows = table(spark, d, "trials").where("val is not null")
+    return rows.select("trial_id", F.posexplode(layout.evaluation_range(F.col("val"))).alias("k", "val")).withColumn("val", F.round("val", 6))
 
 
 # HTML: pages are made of the documents' lines, so that their texts must come out again

@@ -20,10 +20,10 @@ def test_blur_and_peaks():
     assert abs(layout.blur(field, 3.0).sum() - 1) < 1e-9 and layout.blur(field, 0.5).argmax() == 5050
     row = np.zeros(100)
     row[[10, 40, 80]] = 1, 2, 1.5
-    assert layout.count_peaks(row) == 3
+    assert layout.peak_counts(row[None])[0] == 3
     row[45] = 1
-    assert layout.count_peaks(row) == 3  # too near a higher one
-    assert layout.count_peaks(np.zeros(100)) == 0 and layout.columns_of(np.zeros((100, 100))) == 1
+    assert layout.peak_counts(row[None])[0] == 3  # too near a higher one
+    assert layout.peak_counts(np.zeros((2, 100))).tolist() == [0, 0] and layout.columns_of(np.zeros((1, 100, 100))) == 1
 
 
 @pytest.mark.parametrize("columns", [1, 2, 3])
@@ -57,18 +57,18 @@ def test_found_columns(spark, tmp_path):
     kind = "doc_id bigint, box_index int, page_number int, text string, tag_attributes array<string>, line_height double, font_size double, height double, x double, y double"
     spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/boxes.parquet")
     run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
-    labels = {(r.doc_id, r.box_index): (r.columns, r.column_label) for r in run("found_column_labels")}
-    order = {(r.doc_id, r.box_index): r.reading_sequence for r in run("found_reading_order")}
+    labels = {(r.doc_id, r.box_index): (r.columns, r.column_label) for r in run("column_labels")}
+    order = {(r.doc_id, r.box_index): r.reading_sequence for r in run("reading_order")}
     assert {k: v[0] for k, v in labels.items()} == {k: len(places[k[0]]) for k in wanted}
     assert order == {k: v[1] for k, v in wanted.items()}
     for doc in places:
         assert len({(v[1], wanted[k][0]) for k, v in labels.items() if k[0] == doc}) == doc
-    assert {(r.doc_id, r.page_number, r.column_no): r.column_text for r in run("found_column_text")} == texts
-    assert [(r.doc_id, r.box_index) for r in run("found_body_mask") if not r.in_body] == []
-    spaced = {(r.doc_id, r.box_index): (r.before, r.behind) for r in run("found_line_distances")}
+    assert {(r.doc_id, r.page_number, r.column_no): r.column_text for r in run("column_text")} == texts
+    assert [(r.doc_id, r.box_index) for r in run("body_mask") if not r.in_body] == []
+    spaced = {(r.doc_id, r.box_index): (r.before, r.behind) for r in run("line_distances")}
     assert all(spaced[k] == (12.0, 12.0) for k, (c, seq) in wanted.items() if 0 < seq % 60 < 59)
     # a column has its words (1) and its number 60 times and no other (180 - 3); a page as many columns as found (10) and, with two, as expected (10)
-    assert {r.doc_id: r.score for r in run("found_layout_score")} == {d: 2 * (178 * d + 10 + (10 if d == 2 else 0)) for d in places}
+    assert {r.doc_id: r.score for r in run("layout_score")} == {d: 2 * (178 * d + 10 + (10 if d == 2 else 0)) for d in places}
 
 
 def test_ranges(spark):
@@ -280,7 +280,7 @@ def test_conversions(spark):
     assert (placed.x, placed.y, placed.height, placed.font_size, placed.line_height) == (390.0, 888.0, 9.0, 9.0, 1.0)
     got = [r.word for r in convert.positioned(pages).orderBy("word_index").collect()]
     wanted = [w for c in range(2) for k in range(60) for w in ("text", str(c), str(k))]
-    assert len(got) > 0.9 * len(wanted) and got == [w for w in wanted][len(wanted) - len(got) :] or " ".join(got) in " ".join(wanted)
+    assert got == wanted
     plain = spark.createDataFrame([(2, "<p>One, <b>two</b></p><script>x</script>"), (3, None)], "doc_id bigint, html string")
     assert convert.documents_json(plain, rendered=False).first().json == '{"text":"One , two","indexed_words":{"0":"One","1":",","2":"two"},"cuts":[]}'
 
