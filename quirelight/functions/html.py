@@ -171,8 +171,8 @@ def content(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataF
 
 
 def visible_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """``(key, text)``: what a page shows."""
-    return _map(pages, key, html, lambda h: [(parse(h).text(frozenset(("script", "style", "head", "title", "noscript"))),)], "text string")
+    """``(key, text)``: a page's title and what it shows."""
+    return _map(pages, key, html, lambda h: [(parse(h).text(frozenset(("script", "style", "noscript"))),)], "text string")
 
 
 def post_text(pages: DataFrame, key: str = "page_id", html: str = "html", tag: str = "div", css_class: str | None = "post", end: str = END_OF_POST) -> DataFrame:

@@ -6,8 +6,9 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 
 def flatten_deep(column: Column, depth: int) -> Column:
@@ -27,9 +28,19 @@ def map_values(column: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform_values(column, lambda _, v: f(v))
 
 
-def map_hash(column: Column) -> Column:
-    """A hash of a map that doesn't depend on the order of its entries."""
-    return F.xxhash64(F.to_json(F.array_sort(F.map_entries(column))))
+def _ordered(column: Column, kind: DataType) -> Column:
+    if isinstance(kind, MapType):
+        return F.array_sort(F.transform(F.map_entries(column), lambda e: F.struct(e["key"].alias("k"), _ordered(e["value"], kind.valueType).alias("v"))))
+    if isinstance(kind, ArrayType):
+        return F.transform(column, lambda x: _ordered(x, kind.elementType))
+    if isinstance(kind, StructType):
+        return F.when(column.isNotNull(), F.struct(*[_ordered(column[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return column
+
+
+def structural_hash(df: DataFrame, name: str) -> Column:
+    """A hash of a nested column by its structure: the order of maps' entries, at any depth, makes no difference, that of lists does."""
+    return F.xxhash64(F.to_json(F.struct(_ordered(F.col(name), df.schema[name].dataType).alias("v"))))
 
 
 def _leaves(value: object, path: tuple[str, ...]) -> Iterator[tuple[tuple[str, ...], object]]:

@@ -99,6 +99,11 @@ def distinct_annotations(tokens: DataFrame) -> DataFrame:
     return texts.groupBy("actual_text").agg(F.min("sample_id").alias("sample_id")).select("sample_id", "actual_text")
 
 
+def distinct_samples(tokens: DataFrame) -> DataFrame:
+    """The whole tokens, outer O's included, of the samples that ``distinct_annotations`` keeps."""
+    return tokens.join(distinct_annotations(tokens).select("sample_id"), "sample_id", "left_semi")
+
+
 def exactly_two_begins(tokens: DataFrame, tag: str = "tag") -> DataFrame:
     """``(sample_id, n_b, ok)``: the B's of each sample and whether it may be exported."""
     n = F.count_if(letter(F.col(tag)) == "B")
@@ -118,6 +123,14 @@ def conll_lines(tokens: DataFrame, pos: Column, tag: str = "tag") -> DataFrame:
     return rows.where(F.col("line").rlike(r"^[^\s]+  [^\s]+  [^\s]+  [^\s]+"))
 
 
+def conll_documents(lines: DataFrame, samples: int = 500) -> DataFrame:
+    """``(filename, content)``: lines ``(sample_id, i, line)`` as CoNLL documents of about so many samples each, by the samples' hashes."""
+    whole = lines.groupBy("sample_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("sample"))
+    parts = -(-lines.select("sample_id").distinct().count() // samples) or 1
+    files = whole.groupBy(F.pmod(F.xxhash64("sample_id"), F.lit(parts)).alias("part")).agg(F.array_join(F.array_sort(F.collect_list("sample")), "\n\n").alias("samples"))
+    return files.select(F.concat(F.lit("part_"), "part", F.lit(".conll3")).alias("filename"), F.concat(F.lit(DOCSTART + "\n\n"), "samples", F.lit("\n")).alias("content"))
+
+
 def read_conll(files: DataFrame, strict: bool = False) -> DataFrame:
     """``(path, sample_no, i, tok, pos, pos_tag, tag)`` of whole files ``(path, value)``: samples are parted by empty lines, fields by two blanks.
 

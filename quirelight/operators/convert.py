@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelight.exceptions import EmptyPageConversionError
 from quirelight.functions import html
 from quirelight.operators import layout, words
 
@@ -49,6 +50,15 @@ def _bare(pages: DataFrame) -> DataFrame:
     return html.boxes(pages).withColumns(none)
 
 
+def rejects(pages: DataFrame, rendered: bool, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The pages ``(doc_id, html)`` that have something to convert, and ``(doc_id, reason)`` of the others; with ``strict`` these are an error."""
+    found = (html.boxes(pages) if rendered else html.content(pages, "doc_id")).select("doc_id").distinct()
+    empty = pages.join(found, "doc_id", "left_anti").select("doc_id", F.lit("empty page").alias("reason"))
+    if strict and (first := empty.first()):
+        raise EmptyPageConversionError(f"document {first[0]} has nothing to convert")
+    return pages.join(found, "doc_id", "left_semi"), empty
+
+
 def plain_html(pages: DataFrame) -> DataFrame:
     """``(doc_id, word_index, box, content_index, word)`` of plain pages ``(doc_id, html)``, in the order of the document."""
     return words.index_words(html.content(pages, "doc_id"), order="seq")

@@ -60,6 +60,20 @@ def left_border(scores: DataFrame, key: str = "key") -> DataFrame:
     return scores.groupBy(key).agg(best.alias("border"), F.max("score").alias("confidence"))
 
 
+def nearest_token(text: DataFrame, phrase: DataFrame, key: str = "key") -> DataFrame:
+    """``(key, border, confidence)`` of phrases of one token: the text's token of the least cosine distance, the first of equal ones, and that distance."""
+    one = phrase.groupBy(key).agg(F.count("*").alias("m"), F.first("embedding").alias("b")).where("m = 1")
+    far = text.join(one, key).select(key, "i", cosine_distance(F.col("embedding"), F.col("b")).alias("d"))
+    return far.groupBy(key).agg(F.min_by("i", F.struct("d", "i")).alias("border"), F.min("d").alias("confidence"))
+
+
+def left_borders(text: DataFrame, phrase: DataFrame, key: str = "key") -> DataFrame:
+    """``(key, border, confidence)``: by correlation, for phrases of one token by cosine distance."""
+    size = Window.partitionBy(key)
+    longer = phrase.withColumn("m", F.count("*").over(size)).where("m > 1").drop("m")
+    return left_border(sliding_correlation(text, longer, key), key).unionByName(nearest_token(text, phrase, key))
+
+
 def right_border(text: DataFrame, phrase: DataFrame, key: str = "key") -> DataFrame:
     """``(key, border, confidence)``: the end (exclusive) of the best place, found from the end."""
     size = text.groupBy(key).agg(F.count("*").alias("n"))
@@ -68,13 +82,19 @@ def right_border(text: DataFrame, phrase: DataFrame, key: str = "key") -> DataFr
 
 
 def label_peaks(text: DataFrame, phrase: DataFrame, label: str, key: str = "key") -> DataFrame:
-    """``(key, i, label, score)`` of the tokens that a place of near highest correlation covers from both directions."""
+    """``(key, i, label, score)`` of the tokens that places of near highest correlation cover from both directions.
+
+    Found from the start a place covers its tokens but the last, found from the end its tokens but the first (of phrases of
+    one token that one); a token needs both, of the same place or of two. ``score`` is the correlation at the token, 0 where the phrase doesn't fit behind it.
+    """
     m = phrase.groupBy(key).agg(F.count("*").alias("m"))
     forth = sliding_correlation(text, phrase, key)
     whole = Window.partitionBy(key)
-    covered = forth.withColumn("peak", F.col("score") >= PEAK * F.max("score").over(whole)).where("peak").join(m, key)
-    tokens = covered.select(key, "score", F.explode(F.sequence("shift", F.col("shift") + F.col("m") - 1)).alias("i")).groupBy(key, "i").agg(F.max("score").alias("score"))
-    return tokens.select(key, "i", F.lit(label).alias("label"), "score")
+    peaks = forth.withColumn("peak", F.col("score") >= PEAK * F.max("score").over(whole)).where("peak").join(m, key)
+    last = F.greatest(F.col("m") - 2, F.lit(0))
+    covers = lambda first: peaks.select(key, F.explode(F.sequence(F.col("shift") + first, F.col("shift") + first + last)).alias("i")).distinct()
+    both = covers(F.lit(0)).join(covers(F.when(F.col("m") > 1, 1).otherwise(0)), [key, "i"])
+    return both.join(forth.select(key, F.col("shift").alias("i"), "score"), [key, "i"], "left").select(key, "i", F.lit(label).alias("label"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def dilated(tokens: DataFrame, mask: str, n: int, key: str = "key") -> DataFrame:

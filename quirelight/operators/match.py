@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,30 +21,42 @@ def spaceless(text: Column) -> Column:
     return F.replace(inner_strip(text), F.lit(" "), F.lit(""))
 
 
+#: The last automaton of a worker, by its block's name: tasks of a stage share it.
+_BUILT: dict[str, object] = {}
+
+
+def _machine(shared: Broadcast, name: str):
+    import ahocorasick
+
+    if name not in _BUILT:
+        ids: dict[str, list] = {}
+        for i, t in pickle.loads(shared.value):
+            ids.setdefault(t, []).append(i)
+        machine = ahocorasick.Automaton()
+        for t, own in ids.items():
+            machine.add_word(t, own)
+        machine.make_automaton()
+        _BUILT.clear()
+        _BUILT[name] = machine
+    return _BUILT[name]
+
+
 def occurrences(texts: DataFrame, pages: DataFrame, text_id: str, page_id: str) -> DataFrame:
     """``(text_id, page_id)``: the texts that stand in a page, both without blanks and line feeds.
 
     The texts become an automaton that reads each page once, whatever their number; it is broadcast in blocks of bounded
     size, so there is neither a join over pairs nor a shuffle. Null and empty texts stand nowhere.
     """
-    import ahocorasick
-
     short = texts.select(F.col(text_id), spaceless(F.col("text")).alias("t")).where("t <> ''").distinct()
     bodies = pages.select(F.col(page_id), spaceless(F.col("text")).alias("t")).where("t <> ''")
     kinds = f"`{text_id}` {short.schema[0].dataType.simpleString()}, `{page_id}` {bodies.schema[0].dataType.simpleString()}"
     found: list[DataFrame] = []
 
     def search(block: list[tuple]) -> DataFrame:
-        shared = texts.sparkSession.sparkContext.broadcast(pickle.dumps(block))
+        shared, name = texts.sparkSession.sparkContext.broadcast(pickle.dumps(block)), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids: dict[str, list] = {}
-            for i, t in pickle.loads(shared.value):
-                ids.setdefault(t, []).append(i)
-            machine = ahocorasick.Automaton()
-            for t, own in ids.items():
-                machine.add_word(t, own)
-            machine.make_automaton()
+            machine = _machine(shared, name)
             for b in batches:
                 left, right = [], []
                 for page, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,6 +45,51 @@ def distances(texts: pd.Series) -> np.ndarray:
     return np.maximum(before.max(axis=1), at_point.max(axis=1))
 
 
+def exact_chance(n: int, m: int, h: int) -> float:
+    """The chance that two samples of ``n`` and ``m`` from one distribution without ties are ``h / (n m)`` or more apart: counted paths.
+
+    A path is an order of the two samples; the share of paths to (i, j) that stay within the distance is carried on from one
+    i + j to the next, over the few i that are within it.
+    """
+    if n > m:
+        n, m = m, n
+    inside = np.zeros(n + 3)
+    inside[1] = 1.0
+    for s in range(1, n + m + 1):
+        low, high = max(0, s - m, (n * s - h) // (n + m) + 1), min(n, s, -((-(n * s + h)) // (n + m)) - 1)
+        if low > high:
+            return 1.0
+        i = np.arange(low, high + 1)
+        inside[low + 1 : high + 2] = (inside[low : high + 1] * i + inside[low + 1 : high + 2] * (s - i)) / s
+        inside[low] = inside[high + 2] = 0.0
+    return 1.0 - float(inside[n + 1])
+
+
+#: Texts up to this length are judged by counted paths, longer ones by the asymptotic chance.
+EXACT_UP_TO = 10_000
+
+
+@lru_cache(100_000)
+def _exactly(n: int, h: int, threshold: float) -> bool:
+    return exact_chance(n, sum(SAMPLE.values()), h) > threshold
+
+
+def prose_like(texts: pd.Series, threshold: float = THRESHOLD) -> np.ndarray:
+    """Of each text whether it may be drawn from prose; false for null and empty ones.
+
+    The asymptotic chance is above the exact one, and close to it for long texts; so paths are counted only where the first is above the threshold.
+    """
+    d, n, m = distances(texts), texts.str.len().fillna(0).astype(int).to_numpy(), sum(SAMPLE.values())
+    with np.errstate(invalid="ignore"):
+        z = d * np.sqrt(n * m / (n + m))
+    keep = (n > 0) & (z < critical(threshold))
+    # below this the exact chance is above the threshold, too
+    least = np.select([n < 5, n < 20, n < 50, n < 300], [0.65, 0.88, 0.955, 0.975], 0.985) * critical(threshold)
+    for k in np.flatnonzero(keep & (n <= EXACT_UP_TO) & (z > least)):
+        keep[k] = _exactly(int(n[k]), round(d[k] * n[k] * m), threshold)
+    return keep
+
+
 def ks_distance(text: Column) -> Column:
     """``distances`` as a column; null for null and empty texts."""
 
@@ -53,10 +100,14 @@ def ks_distance(text: Column) -> Column:
     return run(text)
 
 
-def is_prose(distance: Column, size: Column, threshold: float = THRESHOLD) -> Column:
-    """Whether a text of this distance and size may be drawn from prose; false for empty and null texts."""
-    m = float(sum(SAMPLE.values()))
-    return F.coalesce((size > 0) & (distance * F.sqrt(size * m / (size + m)) < critical(threshold)), F.lit(False))
+def is_prose(text: Column, threshold: float = THRESHOLD) -> Column:
+    """``prose_like`` as a column."""
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(prose_like(texts, threshold))
+
+    return run(text)
 
 
 def paragraphs(documents: DataFrame) -> DataFrame:
@@ -69,7 +120,7 @@ def paragraphs(documents: DataFrame) -> DataFrame:
 def prose_paragraphs(documents: DataFrame) -> DataFrame:
     """``paragraphs`` with ``n_chars`` and ``keep``."""
     rows = paragraphs(documents).withColumn("n_chars", F.length("paragraph"))
-    return rows.withColumn("keep", is_prose(ks_distance(F.col("paragraph")), F.col("n_chars")))
+    return rows.withColumn("keep", is_prose(F.col("paragraph")))
 
 
 def prose_text(documents: DataFrame, limit: int = LENGTH_LIMIT) -> DataFrame:

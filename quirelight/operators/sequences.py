@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def threewise(df: DataFrame, value: str, by: str, order: str) -> DataFrame:
-    """``(by, order, before, at, after)`` of each row that has both neighbours."""
+    """``(by, order, before, at, after)`` of each row that has both neighbours, whatever their values; nulls are values like others."""
     w = Window.partitionBy(by).orderBy(order)
-    return df.select(by, order, F.lag(value).over(w).alias("before"), F.col(value).alias("at"), F.lead(value).over(w).alias("after")).where("before is not null and after is not null")
+    there = (F.lag(F.lit(True)).over(w) & F.lead(F.lit(True)).over(w)).alias("there")
+    return df.select(by, order, F.lag(value).over(w).alias("before"), F.col(value).alias("at"), F.lead(value).over(w).alias("after"), there).where("there").drop("there")
 
 
 def threshold_fill(value: Column, threshold: float, window: WindowSpec) -> Column:
@@ -39,8 +40,8 @@ def repeating(df: DataFrame, by: str, value: str, order: str, count: int = 2) ->
 
 
 def invert_lists(df: DataFrame, key: str, values: str) -> DataFrame:
-    """``(value, keys)``: of each value the sorted keys whose list has it."""
-    return df.select(key, F.explode(values).alias("value")).groupBy("value").agg(F.array_sort(F.collect_list(key)).alias("keys"))
+    """``(value, key)``: of each value the keys whose list has it, a row for each, so that a value may have any number of keys."""
+    return df.select(F.explode(values).alias("value"), key).distinct()
 
 
 def number_rows(df: DataFrame, by: str, *order: str | Column) -> DataFrame:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelight.common import bounded_broadcast
 from quirelight.functions.text import topic_clean
 
 NO_TOPIC = "no topic set"
 #: Phrases: characters at least, words at most, occurrences at least.
 MIN_CHARS, MAX_WORDS, MIN_FREQUENCY = 10, 2, 5
+#: Documents in one list.
+LISTED = 10_000
 #: Words that part phrases (fixed values).
 STOPWORDS = (
     "a about after again all also always an and another any are as at be because been before being between both but by can could did do does during each"
@@ -25,20 +31,41 @@ def best_topic(weights: DataFrame) -> DataFrame:
     return rows.groupBy("doc").agg(F.min_by("topic", F.struct(-F.col("weight"), F.col("topic"))).alias("topic"))
 
 
-def topic_documents(best: DataFrame) -> DataFrame:
-    """``(topic, docs)``: the sorted documents of each topic."""
-    return best.groupBy("topic").agg(F.array_sort(F.collect_list("doc")).alias("docs"))
+def topic_documents(best: DataFrame, most: int = LISTED) -> DataFrame:
+    """``(topic, part, docs)``: the sorted documents of each topic, in lists of about ``most`` at most: a topic with more has several parts, by the documents' hashes."""
+    sizes = best.groupBy("topic").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    placed = best.join(bounded_broadcast(sizes, sizes.count()), "topic").withColumn("part", F.pmod(F.xxhash64("doc"), "parts").cast("int"))
+    return placed.groupBy("topic", "part").agg(F.array_sort(F.collect_list("doc")).alias("docs"))
 
 
 def phrases(texts: DataFrame, key: str, text: str = "text", stopwords: list[str] | tuple[str, ...] = tuple(STOPWORDS)) -> DataFrame:
     """``(key, phrase, words, n)``: runs of words between stop words and marks, and how often each stands there."""
-    low = F.regexp_replace(F.lower(text), r"[^a-z0-9\s'-]+", "|")
-    parted = F.regexp_replace(low, r"\b(?:" + "|".join(stopwords) + r")\b", "|")
-    runs = F.filter(F.transform(F.split(parted, r"\|"), lambda p: F.regexp_replace(F.regexp_replace(p, r"\s+", " "), r"^[ '-]+|[ '-]+$", "")), lambda p: p != "")
-    rows = texts.select(key, F.explode(runs).alias("phrase"))
+    found = _parted(F.col(text), frozenset(stopwords))
+    rows = texts.select(key, F.explode(found).alias("phrase"))
     return rows.groupBy(key, "phrase").agg(F.count("*").alias("n")).withColumn("words", F.split("phrase", " "))
 
 
+def _parted(text: Column, stopwords: frozenset[str]) -> Column:
+    """The phrases of each text; many texts at a time, as a set finds a stop word sooner than a pattern of all of them."""
+    pieces = re.compile(r"[a-z0-9]+|[\s'-]+|[^a-z0-9\s'-]+", re.ASCII).findall
+    kept = frozenset("abcdefghijklmnopqrstuvwxyz0123456789 \t\n\r\f\v'-")
+
+    def phrases_of(t: str | None) -> list[str]:
+        out, run = [], []
+        for p in pieces((t or "").lower()):
+            run.append("|" if p in stopwords or p[0] not in kept else p)
+        for x in "".join(run).split("|"):
+            if phrase := " ".join(x.split()).strip(" '-"):
+                out.append(phrase)
+        return out
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(phrases_of)
+
+    return run(text)
+
+
 def keyphrases(texts: DataFrame, key: str, text: str = "text", min_chars: int = MIN_CHARS, max_words: int = MAX_WORDS, min_frequency: int = MIN_FREQUENCY) -> DataFrame:
     """``(key, phrase, score)`` of rapid automatic keyword extraction: a word scores its degree by its frequency, a phrase the sum of its words' scores.
 
@@ -59,7 +86,7 @@ def headwords(texts: DataFrame, key: str, text: str = "text", **limits: int) ->
 
 def headword_documents(best: DataFrame, heads: DataFrame) -> DataFrame:
     """``(topic, headword, docs)``: documents by topic and the topic's headword."""
-    return topic_documents(best).join(heads, "topic").select("topic", "headword", "docs")
+    return topic_documents(best).join(heads, "topic").select("topic", "headword", "part", "docs")
 
 
 def topic_texts(best: DataFrame, documents: DataFrame, path: Column) -> DataFrame:
@@ -90,6 +117,16 @@ def lda_topics(documents: DataFrame, k: int = 8, iterations: int = 50, drop_most
     return shares.select("doc_id", F.coalesce(F.array_position(weights, F.array_max(weights)).cast("int") - 1, F.lit(0)).alias("topic"))
 
 
+def topic_words(texts: DataFrame, best: DataFrame, doc: str = "doc", text: str = "text", most: int = 10) -> DataFrame:
+    """``(topic, word, n, place)``: the most frequent words of each topic's documents, of equals the first by name; stop words don't count."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), lambda w: (F.length(w) > 2) & ~F.array_contains(F.array(*map(F.lit, STOPWORDS)), w))
+    counted = texts.join(best, doc).select("topic", F.explode(words).alias("word")).groupBy("topic", "word").agg(F.count("*").alias("n"))
+    # a first cut by hash leaves a few rows of each topic to sort
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "word"))
+    few = counted.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(64))).withColumn("own", place("topic", "part")).where(F.col("own") <= most)
+    return few.withColumn("place", place("topic")).where(F.col("place") <= most).select("topic", "word", "n", "place")
+
+
 def predict_headwords(texts: DataFrame, key: str = "doc_id", **limits: int) -> DataFrame:
     """``headwords`` of each text by itself."""
     return headwords(texts, key, **limits)

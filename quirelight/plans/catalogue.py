@@ -6,16 +6,14 @@ The SQL is written independently of the operators wherever it can be said plainl
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirelight.common import shared_dir, table
+from quirelight.common import table
 from quirelight.functions import html, nested, text
 from quirelight.operators import bio, convert, embed, layout, match, prose, sequences, topics, tuning, words
-from quirelight.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,17 +120,14 @@ def post_cut(spark, d):
     return table(spark, d, "documents").where("media = 'web'").select("doc_id", text.cut_after(F.col("text"), "Latest Posts").alias("post"))
 
 
-@query("SELECT doc_id, 'out/txt/' || regexp_replace(replace(source, '''', ''), '[^0-9A-Za-z_]', '_', 'g') || '.txt' AS txt_path FROM documents WHERE regexp_full_match(source, '[a-z.\\- ]+')")
-def output_paths(spark, d):
-    rows = table(spark, d, "documents").where(F.col("source").rlike(r"^[a-z.\- ]+$"))
-    return rows.select("doc_id", text.output_paths(F.col("source"), "out")["txt_path"].alias("txt_path"))
+_SAFE = "regexp_replace(replace(source, '''', ''), '[\\n\\t:$ \\\\!@#%^&*()\\-+=\"'';<>?/~`.,]', '_', 'g')"
+_PATHS = {"html_before_indexing": ("before", "html"), "html_after_indexing": ("after", "html"), "apache_path": ("served", "html"), "json_path": ("json", "json"), "txt_path": ("txt", "txt")}
 
 
-@query()
-def output_paths_all(spark, d):
-    """Of all rows with a source, also those that the SQL above leaves out."""
+@query("SELECT doc_id, " + ", ".join(f"'out/{folder}/' || {_SAFE} || '.{end}' AS {name}" for name, (folder, end) in _PATHS.items()) + " FROM documents WHERE source IS NOT NULL")
+def output_paths(spark, d):
     rows = table(spark, d, "documents").where("source is not null")
-    return rows.select("doc_id", text.output_paths(F.col("source"), "out")["txt_path"].alias("txt_path"))
+    return rows.select("doc_id", text.output_paths(F.col("source"), "out").alias("p")).select("doc_id", "p.*")
 
 
 # Prose
@@ -149,17 +144,22 @@ keys AS (SELECT DISTINCT doc_id, paragraph_no FROM n),
 u AS (SELECT doc_id, paragraph_no, code, k, 0 AS r FROM n UNION ALL SELECT doc_id, paragraph_no, code, 0, k FROM keys, s),
 g AS (SELECT doc_id, paragraph_no, code, sum(k) AS k, sum(r) AS r FROM u GROUP BY ALL),
 f AS (SELECT doc_id, paragraph_no, sum(k) OVER w AS k, sum(r) OVER w AS r, sum(k) OVER (PARTITION BY doc_id, paragraph_no) AS n FROM g WINDOW w AS (PARTITION BY doc_id, paragraph_no ORDER BY code ROWS UNBOUNDED PRECEDING)),
-ks AS (SELECT doc_id, paragraph_no, max(abs(k / n - r / 1018)) AS dist, any_value(n) AS n FROM f GROUP BY ALL)
-SELECT p.doc_id, CAST(p.paragraph_no AS INT) AS paragraph_no, CAST(length(paragraph) AS INT) AS n_chars, coalesce(dist * sqrt(n * 1018 / (n + 1018)) < sqrt(-0.5 * ln(0.0005)), false) AS keep
-FROM p LEFT JOIN ks ON p.doc_id = ks.doc_id AND p.paragraph_no = ks.paragraph_no"""
+ks AS (SELECT doc_id, paragraph_no, max(abs(k / n - r / 1018)) AS dist, CAST(any_value(n) AS BIGINT) AS n FROM f GROUP BY ALL),
+z AS (SELECT *, dist * sqrt(n * 1018 / (n + 1018)) / sqrt(-0.5 * ln(0.0005)) AS z, CAST(round(dist * n * 1018) AS BIGINT) AS h, least(n, 1018) AS a, greatest(n, 1018) AS b FROM ks),
+-- the share of paths within the distance, from one i + j to the next, where the asymptotic chance doesn't decide
+near AS (SELECT doc_id, paragraph_no, list_reduce(list_prepend(list_prepend(1.0::DOUBLE, list_transform(range(0, a), lambda x: 0.0::DOUBLE)), list_transform(range(1, a + b + 1), lambda s: [s::DOUBLE])),
+ lambda f, s: list_transform(range(0, a + 1), lambda i: CASE WHEN i <= s[1] AND s[1] - i <= b AND abs(b * i - a * (s[1] - i)) < h THEN (CASE WHEN i > 0 THEN f[i] * i ELSE 0 END + f[i + 1] * (s[1] - i)) / s[1] ELSE 0.0 END))[a + 1] AS inside
+ FROM z WHERE n <= 10000 AND z < 1 AND z > CASE WHEN n < 20 THEN 0.6 WHEN n < 50 THEN 0.95 WHEN n < 300 THEN 0.97 ELSE 0.98 END),
+pr AS (SELECT p.doc_id, CAST(p.paragraph_no AS INT) AS paragraph_no, paragraph, CAST(length(paragraph) AS INT) AS n_chars, coalesce(z < 1 AND coalesce(1 - inside > 0.001, true), false) AS keep
+FROM p LEFT JOIN z ON p.doc_id = z.doc_id AND p.paragraph_no = z.paragraph_no LEFT JOIN near ON p.doc_id = near.doc_id AND p.paragraph_no = near.paragraph_no)"""
 
 
-@query(_PROSE_SQL)
+@query(f"{_PROSE_SQL} SELECT doc_id, paragraph_no, n_chars, keep FROM pr")
 def prose_filter(spark, d):
     return prose.prose_paragraphs(table(spark, d, "documents")).select("doc_id", "paragraph_no", "n_chars", "keep")
 
 
-@query()
+@query(f"{_PROSE_SQL} SELECT doc_id, left(regexp_replace(coalesce(string_agg(paragraph, ' ' ORDER BY paragraph_no) FILTER (keep), ''), '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g'), 20000) AS prose FROM pr GROUP BY doc_id")
 def prose_text(spark, d):
     return prose.prose_text(table(spark, d, "documents"))
 
@@ -299,9 +299,11 @@ def unseen_docs(spark, d):
 # Sequences
 
 
-@query('SELECT event_id, before, "at", after FROM (SELECT event_id, lag(event_type) OVER w AS before, event_type AS "at", lead(event_type) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE before IS NOT NULL AND after IS NOT NULL')
+@query(f"""WITH {_LATEST} SELECT sample_id, i, before, "at", after FROM (SELECT sample_id, i, lag(tag) OVER w AS before, tag AS "at", lead(tag) OVER w AS after, row_number() OVER w AS k, count(*) OVER (PARTITION BY sample_id) AS n
+ FROM t WINDOW w AS (PARTITION BY sample_id ORDER BY i)) WHERE k > 1 AND k < n""")
 def threewise(spark, d):
-    return sequences.threewise(table(spark, d, "events"), "event_type", "user_id", "event_id").select("event_id", "before", "at", "after")
+    """Tags, of which some are null."""
+    return sequences.threewise(_latest(spark, d), "tag", "sample_id", "i")
 
 
 @query("SELECT event_id, coalesce(last_value(CASE WHEN value >= 50 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0.0) AS filled FROM events")
@@ -327,10 +329,10 @@ def repeating_first_two(spark, d):
     return sequences.repeating(table(spark, d, "events"), "user_id", "event_type", "event_id")
 
 
-@query("SELECT value, string_agg(CAST(o_custkey AS VARCHAR), ',' ORDER BY o_custkey) AS keys FROM (SELECT DISTINCT o_custkey, o_orderpriority AS value FROM orders) GROUP BY value")
+@query("SELECT DISTINCT o_orderpriority AS value, o_custkey FROM orders WHERE o_orderpriority IS NOT NULL")
 def invert_lists(spark, d):
     lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("vals"))
-    return sequences.invert_lists(lists, "o_custkey", "vals").select("value", F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"))
+    return sequences.invert_lists(lists, "o_custkey", "vals")
 
 
 @query("SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS seq FROM events")
@@ -521,51 +523,32 @@ def evaluation_ranges(spark, d):
 
 # HTML: pages are made of the documents' lines, so that their texts must come out again
 
-_NO_RETURN = "media = 'web' and text is not null and not contains(text, '\\r') and not contains(text, '\\0')"
+_WEB = "media = 'web' and text is not null"
 
 
-def _pages(spark, d, which=_NO_RETURN):
+def _pages(spark, d):
     escaped = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     body = F.concat(F.lit('<html><head><title>t</title><script>var a = "<b>";</script></head><body><a rel="bookmark" href="/'), F.col("doc_id").cast("string"), F.lit('"></a><div class="post">'), escaped, F.lit("</div></body></html>"))
-    return table(spark, d, "documents").where(which).select("doc_id", body.alias("html"))
+    return table(spark, d, "documents").where(_WEB).select("doc_id", body.alias("html"))
 
 
-@query("SELECT doc_id, text FROM documents WHERE media = 'web' AND text IS NOT NULL AND NOT contains(text, chr(13)) AND NOT contains(text, chr(0))")
+@query("SELECT doc_id, 't' || text AS text FROM documents WHERE media = 'web' AND text IS NOT NULL")
 def html_text(spark, d):
+    """A page's title is part of what it shows."""
     return html.visible_text(_pages(spark, d), "doc_id")
 
 
-@query("SELECT doc_id, CAST(0 AS INT) AS seq, '/' || doc_id AS href FROM documents WHERE media = 'web' AND text IS NOT NULL AND NOT contains(text, chr(13)) AND NOT contains(text, chr(0))")
+@query("SELECT doc_id, CAST(0 AS INT) AS seq, '/' || doc_id AS href FROM documents WHERE media = 'web' AND text IS NOT NULL")
 def html_links(spark, d):
     return html.links(_pages(spark, d), "doc_id")
 
 
 @query("""SELECT doc_id, CASE WHEN instr(text, 'Latest Posts') > 0 THEN regexp_replace(replace(left(text, instr(text, 'Latest Posts') - 1), chr(10) || chr(10), chr(10)), '[^0-9A-Za-z !?$%&()+,\\-\\\\./:;\\[\\]_`‘’“”\n]', '', 'g') ELSE text END AS text
- FROM documents WHERE media = 'web' AND text IS NOT NULL AND NOT contains(text, chr(13)) AND NOT contains(text, chr(0))""")
+ FROM documents WHERE media = 'web' AND text IS NOT NULL""")
 def html_post(spark, d):
     return html.post_text(_pages(spark, d), "doc_id")
 
 
-# The same for all pages, also those with carriage returns and NUL, which the SQL above leaves out
-
-_WEB = "media = 'web' and text is not null"
-
-
-@query()
-def html_text_all(spark, d):
-    return html.visible_text(_pages(spark, d, _WEB), "doc_id")
-
-
-@query()
-def html_links_all(spark, d):
-    return html.links(_pages(spark, d, _WEB), "doc_id")
-
-
-@query()
-def html_post_all(spark, d):
-    return html.post_text(_pages(spark, d, _WEB), "doc_id")
-
-
 # Embeddings
 
 _EMBEDDED = "t AS (SELECT label AS key, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, embedding AS e FROM embeddings), ph AS (SELECT key, i - 4 AS i, e FROM t WHERE i BETWEEN 4 AND 6)"
@@ -591,10 +574,19 @@ def borders(spark, d):
     return left.join(right, "key").select("key", "border", "right_border", F.round("confidence", 3).alias("confidence"))
 
 
-@query(f"""WITH {_SCORES}, pk AS (SELECT key, shift, score FROM (SELECT *, max(score) OVER (PARTITION BY key) AS best FROM sc) WHERE score >= 0.93 * best)
-SELECT key, CAST(i AS INT) AS i, 'CONTRAST' AS label, round(max(score), 3) AS score FROM (SELECT key, score, unnest(range(shift, shift + 3)) AS i FROM pk) GROUP BY key, i""")
+@query(f"""WITH {_SCORES}, pk AS (SELECT key, shift FROM (SELECT *, max(score) OVER (PARTITION BY key) AS best FROM sc) WHERE score >= 0.93 * best),
+cv AS (SELECT key, unnest(range(shift, shift + 2)) AS i FROM pk INTERSECT SELECT key, unnest(range(shift + 1, shift + 3)) AS i FROM pk)
+SELECT cv.key, CAST(i AS INT) AS i, 'CONTRAST' AS label, round(coalesce(score, 0.0), 3) AS score FROM cv LEFT JOIN sc ON cv.key = sc.key AND cv.i = sc.shift""")
 def label_peaks(spark, d):
-    return embed.label_peaks(*_text_phrase(spark, d), "CONTRAST").select("key", "i", "label", F.round("score", 3).alias("score"))
+    return embed.label_peaks(*_text_phrase(spark, d), "CONTRAST").select("key", F.col("i").cast("int").alias("i"), "label", F.round("score", 3).alias("score"))
+
+
+@query("""WITH t AS (SELECT label AS key, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, embedding AS e FROM embeddings), q AS (SELECT key, e FROM t WHERE i = 4),
+c AS (SELECT t.key, i, 1 - list_cosine_similarity(t.e::DOUBLE[], q.e::DOUBLE[]) AS far FROM t JOIN q ON t.key = q.key)
+SELECT key, CAST(i AS INT) AS border, round(abs(far), 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY far, i) AS rn FROM c) WHERE rn = 1""")
+def one_token_borders(spark, d):
+    rows, phrase = _text_phrase(spark, d)
+    return embed.left_borders(rows, phrase.where("i = 0")).select("key", "border", F.round(F.abs("confidence"), 6).alias("confidence"))
 
 
 @query("""WITH t AS (SELECT vec_id, label, embedding AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS f FROM embeddings)
@@ -675,7 +667,7 @@ def map_leaves(spark, d):
 
 @query("SELECT count(DISTINCT list_sort(map_entries(state))) AS states FROM trials WHERE state IS NOT NULL")
 def state_hashes(spark, d):
-    return table(spark, d, "trials").where("state is not null").agg(F.count_distinct(nested.map_hash(F.col("state"))).alias("states"))
+    return table(spark, d, "trials").where("state is not null").agg(F.count_distinct(nested.structural_hash(table(spark, d, "trials"), "state")).alias("states"))
 
 
 # Topics
@@ -688,10 +680,10 @@ def best_topic(spark, d):
     return topics.best_topic(table(spark, d, "topic_weights"))
 
 
-@query(f"WITH {_BEST} SELECT topic, count(*) AS n, string_agg(doc, ' ' ORDER BY doc) AS docs FROM bt GROUP BY topic")
+@query(f"WITH {_BEST} SELECT topic, CAST(0 AS INT) AS part, count(*) AS n, string_agg(doc, ' ' ORDER BY doc) AS docs FROM bt GROUP BY topic")
 def topic_documents(spark, d):
     rows = topics.topic_documents(topics.best_topic(table(spark, d, "topic_weights")))
-    return rows.select("topic", F.size("docs").cast("bigint").alias("n"), F.array_join("docs", " ").alias("docs"))
+    return rows.select("topic", "part", F.size("docs").cast("bigint").alias("n"), F.array_join("docs", " ").alias("docs"))
 
 
 @query(f"WITH {_BEST} SELECT topic, count(*) AS n_docs, CAST(row_number() OVER (ORDER BY count(*) DESC, topic) AS INT) AS place FROM bt GROUP BY topic")
@@ -700,24 +692,43 @@ def describe_topics(spark, d):
 
 
 _STOPS = "|".join(topics.STOPWORDS)
-_RAKE = f"""ph AS (SELECT doc_id, phrase, count(*) AS n, string_split(phrase, ' ') AS ws FROM (SELECT doc_id, regexp_replace(regexp_replace(p, '\\s+', ' ', 'g'), '^[ ''-]+|[ ''-]+$', '', 'g') AS phrase FROM
- (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s''-]+', '|', 'g'), '\\b(?:{_STOPS})\\b', '|', 'g'), '|')) AS p FROM documents)) WHERE phrase <> '' GROUP BY ALL),
-cd AS (SELECT * FROM ph WHERE length(phrase) >= 10 AND len(ws) <= 2 AND n >= 2 AND regexp_matches(phrase, '[a-z]')),
-wd AS (SELECT doc_id, word, sum(n * size) / sum(n) AS s FROM (SELECT doc_id, n, len(ws) AS size, unnest(ws) AS word FROM cd) GROUP BY ALL),
-sc AS (SELECT e.doc_id, phrase, sum(s) AS score FROM (SELECT doc_id, phrase, unnest(ws) AS word FROM cd) e JOIN wd ON e.doc_id = wd.doc_id AND e.word = wd.word GROUP BY ALL)"""
 
 
-@query(f"WITH {_RAKE} SELECT d.doc_id, coalesce(phrase, 'no topic set') AS headword FROM documents d LEFT JOIN (SELECT doc_id, phrase, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, phrase) AS rn FROM sc) h ON d.doc_id = h.doc_id AND rn = 1")
+def _rake_sql(key: str, source: str) -> str:
+    return f"""ph AS (SELECT {key}, phrase, count(*) AS n, string_split(phrase, ' ') AS ws FROM (SELECT {key}, regexp_replace(regexp_replace(p, '\\s+', ' ', 'g'), '^[ ''-]+|[ ''-]+$', '', 'g') AS phrase FROM
+ (SELECT {key}, unnest(string_split(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s''-]+', '|', 'g'), '\\b(?:{_STOPS})\\b', '|', 'g'), '|')) AS p FROM {source})) WHERE phrase <> '' GROUP BY ALL),
+cd AS (SELECT * FROM ph WHERE length(phrase) >= 10 AND len(ws) <= 2 AND n >= 5 AND regexp_matches(phrase, '[a-z]')),
+wd AS (SELECT {key}, word, sum(n * size) / sum(n) AS s FROM (SELECT {key}, n, len(ws) AS size, unnest(ws) AS word FROM cd) GROUP BY ALL),
+sc AS (SELECT e.{key}, phrase, sum(s) AS score FROM (SELECT {key}, phrase, unnest(ws) AS word FROM cd) e JOIN wd ON e.{key} = wd.{key} AND e.word = wd.word GROUP BY ALL),
+hw AS (SELECT {key}, phrase FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY round(score, 9) DESC, phrase) AS rn FROM sc) WHERE rn = 1)"""
+
+
+@query(f"WITH {_rake_sql('doc_id', 'documents')} SELECT d.doc_id, coalesce(phrase, 'no topic set') AS headword FROM documents d LEFT JOIN hw ON d.doc_id = hw.doc_id")
 def predict_headwords(spark, d):
-    return topics.predict_headwords(table(spark, d, "documents"), min_frequency=2)
+    return topics.predict_headwords(table(spark, d, "documents"))
 
 
-@query()
-def topic_headwords(spark, d):
+_TEXTS = "tt AS (SELECT topic, bt.doc, regexp_replace(text, '[^ 0-9A-Za-z]', '', 'g') AS text, text AS raw FROM documents JOIN bt ON bt.doc = 'txts/' || doc_id || '.txt' WHERE text IS NOT NULL)"
+
+
+def _topic_docs(spark, d):
     best = topics.best_topic(table(spark, d, "topic_weights"))
-    docs = table(spark, d, "documents").where("text is not null")
-    texts = topics.topic_texts(best, docs, F.concat(F.lit("txts/"), F.col("doc_id").cast("string"), F.lit(".txt")))
-    return topics.headword_documents(best, topics.headwords(texts, "topic")).select("topic", "headword", F.size("docs").alias("n_docs"))
+    return best, table(spark, d, "documents").where("text is not null").withColumn("doc", F.concat(F.lit("txts/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+
+
+@query(f"WITH {_BEST}, {_TEXTS}, {_rake_sql('topic', 'tt')}, nd AS (SELECT topic, count(*) AS n FROM bt GROUP BY topic) SELECT nd.topic, coalesce(phrase, 'no topic set') AS headword, CAST(0 AS INT) AS part, CAST(n AS INT) AS n_docs FROM nd LEFT JOIN hw ON nd.topic = hw.topic WHERE nd.topic IN (SELECT topic FROM tt)")
+def topic_headwords(spark, d):
+    best, docs = _topic_docs(spark, d)
+    texts = topics.topic_texts(best, docs, F.col("doc"))
+    return topics.headword_documents(best, topics.headwords(texts, "topic")).select("topic", "headword", "part", F.size("docs").alias("n_docs"))
+
+
+@query(f"""WITH {_BEST}, {_TEXTS}, w2 AS (SELECT topic, unnest(regexp_split_to_array(lower(raw), '[^a-z]+')) AS word FROM tt),
+n AS (SELECT topic, word, count(*) AS n FROM w2 WHERE length(word) > 2 AND word NOT IN ({", ".join(f"'{w}'" for w in topics.STOPWORDS)}) GROUP BY ALL)
+SELECT topic, word, n, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, word) AS place FROM n) WHERE place <= 10""")
+def topic_words(spark, d):
+    best, docs = _topic_docs(spark, d)
+    return topics.topic_words(docs, best)
 
 
 @query(f"""WITH {_BEST} SELECT '{{"topic":"' || topic || '","docs":[' || string_agg('"' || doc || '"', ',' ORDER BY doc) || ']}}' AS json FROM bt GROUP BY topic""")
@@ -736,15 +747,3 @@ def real_words(spark, d):
 @query()
 def lda_topics(spark, d):
     return topics.lda_topics(table(spark, d, "documents"))
-
-
-# Streams
-
-
-@query("SELECT doc_id, media FROM documents WHERE regexp_matches(text, '\\S')")
-def stream_unseen(spark, d):
-    source = table(spark, d, "documents")
-    stream = spark.readStream.schema(source.schema).parquet(f"{d}/documents.parque[t]").where(F.col("text").rlike(r"\S")).select("doc_id", "media")
-    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    incremental.run_once(stream, f"{out}/log", lambda batch, _: incremental.append_unseen(batch, f"{out}/rows", "doc_id"))
-    return spark.read.parquet(f"{out}/rows")

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from quirelight.exceptions import ConversionError
+from quirelight.operators import bio, convert, words
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -49,3 +50,16 @@ class Registry:
         for stage in self.way(source, target):
             df = df.transform(stage)
         return df
+
+
+def converters() -> Registry:
+    """The engine's own stages: rendered or plain pages ``(doc_id, html)`` to indexed words, words to JSON or text, tags to spans and CoNLL lines."""
+    out = Registry()
+    out.converter("rendered", "words")(convert.positioned)
+    out.converter("html", "words")(convert.plain_html)
+    out.converter("words", "json")(words.document_json)
+    out.converter("words", "text")(words.plain_text)
+    out.converter("bioul", "bio")(bio.bioul_to_bio)
+    out.converter("bio", "spans")(lambda tokens: bio.spans(tokens, "bio"))
+    out.converter("spans", "parts")(bio.structured_spans)
+    return out

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,17 +55,35 @@ def word_list(spark: SparkSession, path: str, least: int = 3) -> DataFrame:
     return spark.read.text(path).where(F.length("value") >= least).select(F.col("value").alias("word"))
 
 
-def upload(contents: DataFrame, root: str, mode: str = "append") -> None:
-    """Write ``(filename, content)`` as a table; names are made safe and never reach a shell."""
-    contents.select(safe_name(F.col("filename")).alias("filename"), "content").write.mode(mode).parquet(root)
+def upload(contents: DataFrame, root: str) -> int:
+    """Write each ``(filename, content)`` as a file under ``root`` and give their number; a file that is there is replaced, so a task may run again.
+
+    The executors write, to any file system that Arrow knows; names are made safe (their ending stays) and never reach a shell. Null names and contents are left out.
+    """
+    from pyarrow import fs
+
+    system, folder = fs.FileSystem.from_uri(root)
+    system.create_dir(folder, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with system.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(content.encode() if isinstance(content, str) else content)
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    ending = F.regexp_extract("filename", r"(\.[0-9A-Za-z]+)?$", 0)
+    name = F.concat(safe_name(F.regexp_replace("filename", r"\.[0-9A-Za-z]+$", "")), ending)
+    rows = contents.where("filename is not null and content is not null").select(name.alias("filename"), "content")
+    return rows.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def cached_state(spark: SparkSession, state: str, paths: DataFrame) -> DataFrame | None:
     """The table kept under ``state`` if it was made of the same set of paths, else None."""
-    try:
-        kept = spark.read.parquet(state)
-    except Exception:  # there is none yet
+    if not exists(spark, state):
         return None
+    kept = spark.read.parquet(state)
     return kept.drop("inputs") if kept.limit(1).where(F.col("inputs") == F.lit(inputs_hash(paths))).count() else None
 
 
@@ -71,6 +92,12 @@ def keep_state(result: DataFrame, state: str, paths: DataFrame) -> None:
     result.withColumn("inputs", F.lit(inputs_hash(paths))).write.mode("overwrite").parquet(state)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something lies under a path, of whatever file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def inputs_hash(paths: DataFrame) -> str:
     """A hash of a set of paths that needs no sort: sums of two hashes over the distinct ones, and their number."""
     h = paths.select("path").distinct().agg(F.count("*"), F.sum(F.xxhash64("path").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit("x"), "path"))).first()

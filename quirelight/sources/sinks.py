@@ -17,17 +17,19 @@ def write_json(rows: DataFrame, path: str, column: str = "json", mode: str = "ov
 
 
 def write_markup(rows: DataFrame, path: str, by: str, column: str = "markup", mode: str = "overwrite") -> None:
-    """Marked-up documents, a folder for each key, literal rewrites done."""
+    """Marked-up documents ``(by, value)`` as a table, literal rewrites done; ``files.upload`` makes files of it."""
     out = F.col(column)
     for old, new in MARKUP_REWRITES.items():
         out = F.replace(out, F.lit(old), F.lit(new))
-    rows.select(by, out.alias("value")).write.mode(mode).partitionBy(by).text(path)
+    rows.select(by, out.alias("value")).write.mode(mode).parquet(path)
 
 
 def write_texts(rows: DataFrame, *paths: str, column: str = "value", mode: str = "overwrite") -> None:
-    """Plain texts, to each of the paths (a served copy is a second path)."""
+    """Plain texts, to each of the paths (a served copy is a second path); they are made once and copied from the first path."""
+    out = rows.select(F.col(column).alias("value"))
     for p in paths:
-        rows.select(F.col(column).alias("value")).write.mode(mode).text(p)
+        out.write.mode(mode).text(p)
+        out = rows.sparkSession.read.text(paths[0])
 
 
 def append_seen(rows: DataFrame, path: str, key: str = "path") -> None:

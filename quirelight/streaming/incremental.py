@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quirelight.sources.files import exists
+
 
 def new_texts(spark: SparkSession, root: str, pattern: str = "*", files_a_batch: int = 1000) -> DataFrame:
     """A stream of ``(path, value)`` of files as they arrive; empty texts are skipped. The checkpoint is the log of what was seen."""
@@ -15,9 +17,9 @@ def new_texts(spark: SparkSession, root: str, pattern: str = "*", files_a_batch:
     return texts.select(F.col("_metadata.file_path").alias("path"), "value").where(F.col("value").rlike(r"\S"))
 
 
-def run_once(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def run_once(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
     """Process all that is there and stop."""
-    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
+    query = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).foreachBatch(each).start()
     query.awaitTermination()
     return query
 
@@ -26,10 +28,8 @@ def append_unseen(batch: DataFrame, target: str, key: str) -> None:
     """Add a batch's rows whose key isn't in the target yet, once each; a batch that is tried again adds nothing twice."""
     spark = batch.sparkSession
     rows = batch.dropDuplicates([key])
-    try:
-        rows = rows.join(spark.read.parquet(target).select(key), key, "left_anti")
-    except Exception:  # nothing is there yet
-        pass
+    if exists(spark, target):
+        rows = rows.join(spark.read.parquet(target).select(key), key, "left_anti")  # of the target only the keys are read
     rows.write.mode("append").parquet(target)
 
 

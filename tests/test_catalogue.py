@@ -7,7 +7,7 @@ import sys
 
 import pytest
 
-from quirelight.plans import catalogue
+from quirelight.plans import catalogue, roundtrips  # noqa: F401
 
 
 def _rows(table):

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quirelight.exceptions import ConversionError
+from quirelight.exceptions import ConversionError, EmptyPageConversionError
 from quirelight.functions import html
 from quirelight.operators import convert, embed, layout, match, prose, sequences, topics, tuning, words
 from quirelight.plans import catalogue
@@ -103,6 +103,34 @@ def test_prose_distance(spark):
     assert prose.prose_text(docs, 10).where("doc_id = 1").first().prose == "the desire"
 
 
+def test_chance():
+    """Counted paths against all orders of two samples, and the border of what counts as prose."""
+    from itertools import combinations
+
+    for n, m in ((1, 4), (2, 5), (3, 4), (4, 4), (5, 3)):
+        orders = []
+        for own in combinations(range(n + m), n):
+            i = j = far = 0
+            for k in range(n + m):
+                i, j = (i + 1, j) if k in own else (i, j + 1)
+                far = max(far, abs(m * i - n * j))
+            orders.append(far)
+        for h in set(orders):
+            assert abs(prose.exact_chance(n, m, h) - np.mean([x >= h for x in orders])) < 1e-12
+    assert prose.prose_like(pd.Series(["q", "qq", "zz", "zzz", "he", None, "", "the"])).tolist() == [True, True, False, False, True, False, False, True]
+    # the asymptotic chance alone would keep these
+    assert [prose.critical() > 1.73, prose.exact_chance(2, 1018, 2036) < 1e-5, prose.exact_chance(3, 1018, 3054) < 1e-7] == [True] * 3
+
+
+def test_rejects(spark):
+    pages = spark.createDataFrame([(1, "<p>x</p>"), (2, "<p> </p>"), (3, None)], "doc_id bigint, html string")
+    good, empty = convert.rejects(pages, False)
+    assert [r.doc_id for r in good.collect()] == [1] and sorted(r.doc_id for r in empty.collect()) == [2, 3]
+    with pytest.raises(EmptyPageConversionError):
+        convert.rejects(pages, False, strict=True)
+    assert convert.rejects(pages.where("doc_id = 1"), False, strict=True)[1].count() == 0
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     e = rng.normal(size=(30, 8))
@@ -113,7 +141,15 @@ def test_embeddings(spark):
     assert np.allclose([r.score for r in scores.orderBy("shift").collect()], wanted)
     assert embed.left_border(scores).first().border == int(np.argmax(wanted))
     assert embed.right_border(text, phrase).first().border == int(np.argmax(wanted)) + 3
-    assert {r.i for r in embed.label_peaks(text, phrase, "S").collect()} == {11, 12, 13}
+    # from the start 11 and 12 are covered, from the end 12 and 13
+    label = embed.label_peaks(text, phrase, "S").collect()
+    assert [r.i for r in label] == [12] and abs(label[0].score - wanted[12]) < 1e-9
+    twice = text.union(text.withColumn("i", F.col("i") + 30))
+    assert {r.i for r in embed.label_peaks(twice, phrase, "S").collect()} == {12, 42}
+    assert {r.i for r in embed.label_peaks(text, text.where("i = 9").withColumn("i", F.lit(0)), "S").collect()} == {int(np.argmax(e @ e[9]))}
+    one = embed.left_borders(text, text.where("i = 7").withColumn("i", F.lit(0))).first()
+    assert one.border == 7 and abs(one.confidence) < 1e-9  # by distance, not by the longest vector
+    assert embed.left_borders(text, phrase).first().border == int(np.argmax(wanted))
     zero = spark.sql("select array(0d, 0d) a, array(1d, 0d) b").select(embed.negative_cosine([(F.col("a"), F.col("b"))]), embed.negative_cosine([(F.col("b"), F.col("b"))]), embed.pad_right(F.col("a"), 4)).first()
     assert zero[0] == -25.0 and zero[1] == 0.0 and zero[2] == [0.0] * 4
 
@@ -174,14 +210,20 @@ def test_sequences(spark):
     assert sequences.repeating(rows, "k", "v", "n", 9).count() == 0
     three = sequences.threewise(rows, "v", "k", "n").orderBy("n").collect()
     assert [(r.before, r["at"], r.after) for r in three][:2] == [(3, 1, 3), (1, 3, 1)]
-    inverted = sequences.invert_lists(spark.createDataFrame([("a", [1, 2]), ("b", [2])], "k string, vs array<int>"), "k", "vs")
-    assert {r.value: r["keys"] for r in inverted.collect()} == {1: ["a"], 2: ["a", "b"]}
+    gap = spark.createDataFrame([("k", n, v) for n, v in enumerate(["a", None, "b", "c"])], "k string, n int, v string")
+    assert [(r.before, r["at"], r.after) for r in sequences.threewise(gap, "v", "k", "n").orderBy("n").collect()] == [("a", None, "b"), (None, "b", "c")]
+    inverted = sequences.invert_lists(spark.createDataFrame([("a", [1, 2, 2]), ("b", [2])], "k string, vs array<int>"), "k", "vs")
+    assert sorted((r.value, r.k) for r in inverted.collect()) == [(1, "a"), (2, "a"), (2, "b")]
     assert sorted(r.n for r in sequences.shuffled(rows, 1).collect()) == list(range(6))
 
 
 def test_topics(spark):
     w = spark.createDataFrame([("d1", "t1", 0.5), ("d1", "t0", 0.5), ("d1", "t2", None), ("d2", "t2", 0.1), ("d2", "t2", 0.1)], "doc string, topic string, weight double")
     assert {r.doc: r.topic for r in topics.best_topic(w).collect()} == {"d1": "t0", "d2": "t2"}
+    listed = topics.topic_documents(spark.createDataFrame([(f"d{n}", "t") for n in range(100)], "doc string, topic string"), 10).collect()
+    assert sorted(d for r in listed for d in r.docs) == sorted(f"d{n}" for n in range(100)) and {r.part for r in listed} <= set(range(10)) and len(listed) > 5
+    words = topics.topic_words(spark.createDataFrame([("d1", "Sea the sea land"), ("d2", None)], "doc string, text string"), topics.best_topic(w), most=1)
+    assert [tuple(r) for r in words.collect()] == [("t0", "sea", 2, 1)]
     texts = spark.createDataFrame([(1, "The climate model is a climate model and the climate model"), (2, ""), (3, None)], "doc_id bigint, text string")
     got = {r.doc_id: r.headword for r in topics.predict_headwords(texts, min_frequency=2).collect()}
     assert got == {1: "climate model", 2: "no topic set", 3: "no topic set"}
@@ -237,10 +279,11 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "w").write_text("ab\nabc\nabcd\n")
     assert files.word_list(spark, str(tmp_path / "w")).count() == 2
     files.upload(spark.createDataFrame([("../x;rm", b"1")], "filename string, content binary"), str(tmp_path / "up"))
-    assert spark.read.parquet(str(tmp_path / "up")).first().filename == "___x_rm"
+    assert files.upload(spark.createDataFrame([("a b.txt", "é"), (None, "x"), ("y", None)], "filename string, content string"), str(tmp_path / "up")) == 1
+    assert (tmp_path / "up/___x_rm").read_bytes() == b"1" and (tmp_path / "up/a_b.txt").read_text() == "é"
     sinks.write_texts(texts, str(tmp_path / "t1"), str(tmp_path / "t2"))
     sinks.write_markup(spark.createDataFrame([(1, "<email>")], "doc_id bigint, markup string"), str(tmp_path / "m"), "doc_id")
-    assert spark.read.text(str(tmp_path / "m")).first().value == "&lt;email&gt;"
+    assert spark.read.parquet(str(tmp_path / "m")).first().value == "&lt;email&gt;"
     sinks.append_seen(texts, str(tmp_path / "seen"))
     sinks.append_seen(texts, str(tmp_path / "seen"))
     assert spark.read.parquet(str(tmp_path / "seen")).count() == 2

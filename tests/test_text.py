@@ -65,5 +65,8 @@ def test_nested(spark):
     given = {"body": {"abdomen": [{"arms": {"value": 2}}, {"legs": {"value": 2}}], "hands": {"fingers": {"value": 5}}}}
     wanted = [{2: {"arms": {"abdomen": {"body": {}}}}}, {2: {"legs": {"abdomen": {"body": {}}}}}, {5: {"fingers": {"hands": {"body": {}}}}}]
     assert nested.reversed_paths(given, "value") == wanted
-    rows = spark.sql("select map('a', 1, 'b', 2) m union all select map('b', 2, 'a', 1)").select(nested.map_hash(F.col("m")).alias("h"))
-    assert rows.distinct().count() == 1
+    rows = spark.sql("select named_struct('x', map('a', array(map('p', 1, 'q', 2)), 'b', null)) m union all select named_struct('x', map('b', null, 'a', array(map('q', 2, 'p', 1))))")
+    hashes = rows.select(nested.structural_hash(rows, "m").alias("h"))
+    assert hashes.distinct().count() == 1
+    lists = spark.sql("select map('a', array(1, 2)) m union all select map('a', array(2, 1))")
+    assert lists.select(nested.structural_hash(lists, "m")).distinct().count() == 2
