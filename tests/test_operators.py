@@ -174,15 +174,15 @@ def test_html_of_all_pages(spark, tmp_path):
     rows = [(k, v, "web") for k, v in texts.items()] + [(5, None, "web"), (6, "x", "pdf")]
     spark.createDataFrame(rows, "doc_id bigint, text string, media string").write.parquet(f"{tmp_path}/documents.parquet")
     run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
-    assert {r.doc_id: r.text for r in run("html_text_all")} == texts
-    assert {r.doc_id: r.text for r in run("html_post_all")} == texts
-    assert sorted((r.doc_id, r.seq, r.href) for r in run("html_links_all")) == [(k, 0, f"/{k}") for k in texts]
+    assert {r.doc_id: r.text for r in run("html_text")} == {k: "t" + v for k, v in texts.items()}
+    assert {r.doc_id: r.text for r in run("html_post")} == texts
+    assert sorted((r.doc_id, r.seq, r.href) for r in run("html_links")) == [(k, 0, f"/{k}") for k in texts]
 
 
 def test_output_paths_of_all_sources(spark, tmp_path):
     rows = [(1, "a.b-c d"), (2, "Reuters"), (3, "it's A/b:1"), (4, None), (5, "é")]
     spark.createDataFrame(rows, "doc_id bigint, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r.doc_id: r.txt_path for r in catalogue.QUERIES["output_paths_all"](spark, str(tmp_path)).collect()}
+    found = {r.doc_id: r.txt_path for r in catalogue.QUERIES["output_paths"](spark, str(tmp_path)).collect()}
     assert set(found) == {1, 2, 3, 5} and found[1] == "out/txt/a_b_c_d.txt" and found[2] == "out/txt/Reuters.txt"
     assert all(v and v.startswith("out/txt/") for v in found.values())
 
