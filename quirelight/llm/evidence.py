@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ _STOPS = (".", "!", "?", '."')
 _AROUND, _BEHIND = "\"'“”‘’«»()[]{}<>.,;:!?…*_-–—=+/|\\", "\"'”’»)]"
 #: Entries of a worker's memo of tokens; a full memo is emptied, which changes no result.
 MEMO = 400_000
+#: Words of more than a batch of documents.
+MANY = 1 << 18
 
 #: Function words by language that the other languages don't have (fixed values).
 ENGLISH = frozenset("the of and to is that it for with by are this be which have not these those whose its how each there you we because although whereas".split())
@@ -154,7 +158,8 @@ class Evidence:
         n = self.rows.shape[1]
         if not len(rows):
             return np.zeros((tokens.n, 2 * n))
-        sums = np.add.reduceat(self.rows[rows], tokens.starts)
+        # one class at a time, as a row of all classes for each word would fill the driver when models are fitted
+        sums = np.stack([np.add.reduceat(self.rows[:, j].take(rows), tokens.starts) for j in range(n)], axis=1) if len(rows) > MANY else np.add.reduceat(self.rows[rows], tokens.starts)
         longer = tokens.sizes > 1
         best = sums.argmax(axis=1)
         sure = longer & (sums.max(axis=1) > self.NEED)
@@ -192,18 +197,26 @@ def fresh_lexicon() -> Lexicon:
     return Lexicon({w: n for n, w in enumerate(sorted(ENGLISH | OTHERS | JOINTS), 1)}, grow=True)
 
 
-def labelled(ready: pages.Removal, labels: DataFrame, value: str, most: int = LABELLED) -> list[tuple[str, list[str], list]]:
-    """``(source, lines of the main body, distinct labels)`` of at most ``most`` labelled documents."""
+def labelled(ready: pages.Removal, labels: DataFrame, value: str, most: int = LABELLED) -> list[tuple[str, str, list]]:
+    """``(source, running text of the main body, distinct labels)`` of at most ``most`` labelled documents. The texts are cut on the executors."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull()).groupBy("doc_id").agg(F.sort_array(F.collect_set(value)).alias("labels"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     few = ready.documents.join(F.broadcast(own), "doc_id")  # at most ``most`` rows
-    rows = few.select("doc_id", F.coalesce(clean_source(F.col("source")), F.lit("")).alias("source"), "labels", "media", "text", "site", "known", "heads").orderBy("doc_id").toArrow().to_pylist()
-    lookup, out = ready.lookup(), []
-    for r in rows:
-        lines = r["text"].split("\n")
-        gone = lookup(r["site"], r["known"], r["heads"]).removed(lines, pages.line_keys(r["text"]), r["media"] == "web")
-        out.append((r["source"], quality.body_lines(lines, gone), r["labels"]))
-    return out
+    few = few.select("doc_id", F.coalesce(clean_source(F.col("source")), F.lit("")).alias("source"), "labels", "media", "text", "site", "known", "heads")
+    kinds = {f.name: f.dataType.simpleString() for f in few.schema}
+    lookup = ready.lookup()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bodies = []
+            for media, text, site, known, heads in zip(*[c.to_pylist() for c in b.columns[3:]]):
+                lines = text.split("\n")
+                gone = lookup(site, known, heads).removed(lines, pages.line_keys(text), media == "web")
+                bodies.append(running_text(quality.body_lines(lines, gone)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(bodies, pa.string())], ["doc_id", "source", "labels", "body"])
+
+    rows = few.mapInArrow(run, f"doc_id bigint, source string, labels {kinds['labels']}, body string").orderBy("doc_id").toArrow()
+    return list(zip(*[rows.column(c).to_pylist() for c in ("source", "body", "labels")]))
 
 
 def folds(sources: list[str], n: int) -> np.ndarray:

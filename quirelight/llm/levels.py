@@ -183,10 +183,10 @@ class Levels:
         return self.grade(self.model.predict(x, self.trees))
 
 
-def train(rows: list[tuple[str, list[str], list]]) -> tuple[Features, Levels] | None:
-    """The vocabulary and the trees, from main bodies with their grades."""
+def train(rows: list[tuple[str, str, list]]) -> tuple[Features, Levels] | None:
+    """The vocabulary and the trees, from running texts with their grades."""
     lexicon = evidence.fresh_lexicon()
-    docs = [(source, evidence.running_text(body), [g for g in found if g in GRADES]) for source, body, found in rows]
+    docs = [(source, body, [g for g in found if g in GRADES]) for source, body, found in rows]
     docs = [d for d in docs if d[2]]
     tokens = Tokens([d[1] for d in docs], lexicon)
     vocabulary = lexicon.vocabulary

@@ -100,10 +100,10 @@ class Chain:
         return labels[np.arange(len(x)), logs.argmax(axis=1)] > 0.5
 
 
-def train(rows: list[tuple[str, list[str], list]], names: list[str]) -> tuple[Features, Chain] | None:
-    """The term features and the chain, from main bodies with their labels."""
+def train(rows: list[tuple[str, str, list]], names: list[str]) -> tuple[Features, Chain] | None:
+    """The term features and the chain, from running texts with their labels."""
     lexicon = evidence.fresh_lexicon()
-    docs = [(source, evidence.running_text(body), [names.index(s) for s in found if s in names]) for source, body, found in rows]
+    docs = [(source, body, [names.index(s) for s in found if s in names]) for source, body, found in rows]
     docs = [d for d in docs if d[2]]
     tokens = Tokens([d[1] for d in docs], lexicon)
     vocabulary = lexicon.vocabulary
